@@ -12,7 +12,7 @@ from ledgerlens.config import (
     PSI_MIN_VALUES, PSI_WARNING, ROWS_PER_SLICE,
 )
 from ledgerlens.functions.scalars import floor_clip
-from ledgerlens.operators.quantiles import quantile, ranked_values
+from ledgerlens.operators.quantiles import count_slices, quantiles_of_counts
 
 log = logging.getLogger(__name__)
 
@@ -40,38 +40,37 @@ def psi_table(
         .groupBy("feature", "value").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     )
     bound = (expected.count() + actual.count()) * len(features)
-    ranked, _, _ = ranked_values(counted, ["feature"], "value", "e", bound, rows_per_slice)
-    edge_names = [f"edge{i}" for i in range(bins + 1)]
-    # one row per feature
-    edges = ranked.groupBy("feature").agg(
-        F.sum("e").alias("n_expected"), F.sum("a").alias("n_actual"),
-        *[quantile("value", "e", i / bins).alias(name) for i, name in enumerate(edge_names)],
-    )
-    top = F.col(edge_names[-1])
+    sliced = count_slices(counted, ["feature"], "value", bound, rows_per_slice)
+    names = [f"edge{i}" for i in range(bins + 1)]
+    quantiles = {name: i / bins for i, name in enumerate(names)}
+    edges = quantiles_of_counts(sliced.where("e > 0"), ["feature"], "value", "e", quantiles)
+    sizes = sliced.groupBy("feature").agg(F.sum("e").alias("n_expected"), F.sum("a").alias("n_actual"))
+    # one row per monitored feature: small enough for the driver, and it keeps the next plan short
+    per_feature = {r["feature"]: r for r in sizes.join(edges, "feature", "left").collect()}
+    usable = []
+    for feature in features:
+        r = per_feature.get(feature)
+        if r and r["n_expected"] >= PSI_MIN_VALUES and r["n_actual"] >= PSI_MIN_VALUES and len({r[n] for n in names}) >= 3:
+            usable.append((feature, *[float(r[n]) for n in names]))
+    named = spark.createDataFrame([(f,) for f in features], "feature string")
+    if not usable:
+        return named.withColumn("psi", F.lit(0.0))
+    table = spark.createDataFrame(usable, "feature string, " + ", ".join(f"{n} double" for n in names))
+    top = F.col(names[-1])
     inner: list[Column] = [
-        F.when((F.col("value") >= F.col(name)) & (F.col(name) < top), 1).otherwise(0) for name in edge_names[1:-1]
+        F.when((F.col("value") >= F.col(name)) & (F.col(name) < top), 1).otherwise(0) for name in names[1:-1]
     ]
-    binned = ranked.select("feature", "value", "e", "a").join(F.broadcast(edges), "feature").withColumn(
-        "bin", sum(inner, F.lit(0))
-    )
+    binned = sliced.join(F.broadcast(table), "feature").withColumn("bin", sum(inner, F.lit(0)))
     if not open_ends:
-        binned = binned.where(F.col("value").between(F.col(edge_names[0]), top))
+        binned = binned.where(F.col("value").between(F.col(names[0]), top))
     per_bin = binned.groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     whole = Window.partitionBy("feature")
     e = floor_clip(F.col("e") / F.sum("e").over(whole), PSI_FLOOR)
     a = floor_clip(F.coalesce(F.try_divide(F.col("a"), F.sum("a").over(whole)), F.lit(0.0)), PSI_FLOOR)
     index = per_bin.select("feature", e.alias("pe"), a.alias("pa")).groupBy("feature").agg(
-        F.sum((F.col("pa") - F.col("pe")) * F.ln(F.col("pa") / F.col("pe"))).alias("raw")
-    )
-    distinct_edges = F.size(F.array_distinct(F.array(*edge_names)))
-    usable = (
-        (F.col("n_expected") >= PSI_MIN_VALUES) & (F.col("n_actual") >= PSI_MIN_VALUES) & (distinct_edges >= 3)
-    )
-    named = spark.createDataFrame([(i, f) for i, f in enumerate(features)], "position int, feature string")
-    return (
-        named.join(F.broadcast(edges), "feature", "left").join(F.broadcast(index), "feature", "left")
-        .select("feature", F.when(usable, F.coalesce("raw", F.lit(0.0))).otherwise(F.lit(0.0)).alias("psi"))
+        F.sum((F.col("pa") - F.col("pe")) * F.ln(F.col("pa") / F.col("pe"))).alias("psi")
     )
+    return named.join(index, "feature", "left").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
 
 
 def psi(expected: DataFrame, actual: DataFrame, feature: str, **options) -> float:

@@ -2,40 +2,60 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import ROWS_PER_SLICE
-from ledgerlens.operators.ordered import prefix_sums
-from ledgerlens.skew import broadcast_if_small, slice_count
+from ledgerlens.skew import SLICE, range_slices, slice_count
 
 
-def ranked_values(
-    counted: DataFrame, groups: list[str], value: str, weight: str, rows: int, rows_per_slice: int = ROWS_PER_SLICE
-) -> tuple[DataFrame, DataFrame, int]:
-    """(distinct values with ``_rank`` of their first copy in the group, group sizes, number of groups).
+def quantiles_of_counts(counted: DataFrame, groups: list[str], value: str, copies: str, quantiles: dict[str, float]) -> DataFrame:
+    """Quantiles from range slices of (group, value, number of copies) rows, distinct in (group, value).
 
-    ``counted`` has one row per (group, value); ``weight`` is the number of copies.
+    A value's rank is its rank in the slice plus the group's copies in earlier slices. Only values that
+    cover a wanted rank go on, so the last aggregation sees at most two rows per group and quantile.
     """
-    slices = slice_count(counted, rows_per_slice, rows=rows)
-    ordered = prefix_sums(counted, [*groups, value], {"_below": F.col(weight)}, slices, "quantiles")
-    sizes = ordered.groupBy(*groups).agg(F.sum(weight).alias("_size"), F.min("_below").alias("_start"))
-    n = sizes.count()
-    joined = ordered.join(broadcast_if_small(sizes, n), groups)
-    return joined.withColumn("_rank", F.col("_below") - F.col("_start")).drop("_below", "_start"), sizes, n
+    whole = Window.partitionBy(*groups)
+    earlier = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # one row per slice, and one more per group
+    carried = counted.groupBy(*groups, SLICE).agg(F.sum(copies).alias("_n")).select(
+        *groups, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
+        F.sum("_n").over(whole).alias("_size"),
+    )
+    before = Window.partitionBy(SLICE, *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    local = counted.withColumn("_local", F.coalesce(F.sum(copies).over(before), F.lit(0)))
+    rank = F.col("_start") + F.col("_local")
+    ranked = local.join(carried, [*groups, SLICE]).select(
+        *groups, value, "_size", rank.alias("_rank"), (rank + F.col(copies)).alias("_end")
+    )
 
+    def covers(position: Column) -> Column:
+        return (F.col("_rank") <= position) & (position < F.col("_end"))
 
-def quantile(value: str, weight: str, q: float) -> Column:
-    """Aggregate over :func:`ranked_values` rows: linear interpolation between neighbours."""
-    position = F.lit(q) * (F.col("_size") - 1)
-    last = F.col("_rank") + F.col(weight)
+    def position(q: Column) -> Column:
+        return q * (F.col("_size") - 1)
+
+    wanted = F.array(*[F.lit(float(q)) for q in sorted(set(quantiles.values()))])
+    hit = F.filter(wanted, lambda q: covers(F.floor(position(q))) | covers(F.ceil(position(q))))
+    hits = ranked.withColumn("_q", F.explode(hit))
+    at = position(F.col("_q"))
+    ends = hits.groupBy(*groups, "_q").agg(
+        F.max(F.when(covers(F.floor(at)), F.col(value))).alias("low"),
+        F.max(F.when(covers(F.ceil(at)), F.col(value))).alias("high"),
+        F.first(at - F.floor(at)).alias("part"),
+    )
+    found = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
+        F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
+    )
+    return ends.withColumn("_found", found).groupBy(*groups).agg(*[
+        F.max(F.when(F.col("_q") == q, F.col("_found"))).alias(name) for name, q in quantiles.items()
+    ])
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_rank") <= rank) & (rank < last), F.col(value)))
 
-    low, high = at(F.floor(position)), at(F.ceil(position))
-    part = F.max(position - F.floor(position))
-    return F.when(low == high, low).otherwise(low + (high - low) * part)
+def count_slices(
+    counted: DataFrame, groups: list[str], value: str, rows: int, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    return range_slices(counted, [*groups, value], slice_count(counted, rows_per_slice, rows=rows), "quantiles")
 
 
 def grouped_quantiles(
@@ -44,7 +64,5 @@ def grouped_quantiles(
     """``groups`` plus one column per quantile; nulls are ignored."""
     known = df.where(F.col(value).isNotNull())
     counted = known.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_copies"))
-    ranked, _, _ = ranked_values(counted, groups, value, "_copies", known.count(), rows_per_slice)
-    return ranked.groupBy(*groups).agg(*[
-        quantile(value, "_copies", q).alias(name) for name, q in quantiles.items()
-    ])
+    sliced = count_slices(counted, groups, value, known.count(), rows_per_slice)
+    return quantiles_of_counts(sliced, groups, value, "_copies", quantiles)
