@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerlens.operators.history import history_outputs
 from ledgerlens.operators.keyed import keyed_features
 from ledgerlens.config import VELOCITY_WINDOWS
-from ledgerlens.plans import feature_queries, metric_queries, stream_queries, table_queries  # noqa: F401
+from ledgerlens.plans import (  # noqa: F401
+    feature_queries, metric_queries, model_queries, stream_queries, table_queries,
+)
 from ledgerlens.plans.registry import QUERIES, SQL, events
 
 __all__ = ["QUERIES", "SQL", "flagship"]
