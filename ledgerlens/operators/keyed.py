@@ -3,8 +3,9 @@
 One engine serves trailing windows, expanding statistics, time since the last row and lookups of
 requests against a history. Ordinary keys use plain windows: one exchange on the key and one sort.
 Keys above ``hot_rows`` are cut into ordered slices of bounded size; running values come from the
-slice's own window merged with a carry from the earlier slices, and trailing windows from
-differences of prefix sums, whose cost does not depend on the length of the window.
+slice's own window merged with a carry from the earlier slices. Keys above ``frame_rows`` get their
+trailing windows from differences of prefix sums, also sliced, whose cost does not depend on the
+length of the window.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.config import AMOUNT, HOT_ROWS, ID, ROWS_PER_SLICE, TIME
+from ledgerlens.config import AMOUNT, FRAME_ROWS, HOT_ROWS, ID, ROWS_PER_SLICE, TIME
 from ledgerlens.skew import (
     SLICE, HotKeys, broadcast_if_small, find_hot_keys, null_spread, range_slices, slice_count, split_hot,
 )
@@ -192,6 +193,20 @@ def trailing_prefix(
     return df.join(answers, [key, time], "left")
 
 
+def running_for_busy_keys(
+    df: DataFrame, spec: Keyed, finish: Callable[[DataFrame], DataFrame], hot: HotKeys, rows_per_slice: int
+) -> DataFrame:
+    """Running features of keys that are known not to be null; hot ones are split over tasks."""
+    rest, warm = split_hot(df, spec.key, hot) if hot else (df, None)
+    out = finish(running(rest.select(*df.columns, F.lit(0).cast("long").alias(SLICE)), spec)).drop(SLICE, *RUNNING)
+    if warm is None:
+        return out
+    slices = slice_count(warm, rows_per_slice, rows=hot.rows)
+    sliced = range_slices(warm, [spec.key, *spec.order], slices, "running")
+    done = finish(running_sliced(sliced, spec, slices + hot.keys)).drop(SLICE, *RUNNING)
+    return out.unionByName(done.select(*out.columns))
+
+
 def keyed_features(
     df: DataFrame,
     spec: Keyed,
@@ -199,30 +214,35 @@ def keyed_features(
     prefix: str | None = None,
     with_running: bool = False,
     finish: Callable[[DataFrame], DataFrame] = lambda d: d,
+    frame_rows: int = FRAME_ROWS,
     hot_rows: int = HOT_ROWS,
     rows_per_slice: int = ROWS_PER_SLICE,
-    hot: HotKeys | None = None,
+    profile: HotKeys | None = None,
 ) -> DataFrame:
-    """Running and trailing features of one key; ``finish`` turns the running columns into outputs."""
-    prefix = prefix or spec.key
-    hot = find_hot_keys(df, spec.key, hot_rows) if hot is None else hot
-    cold, warm = split_hot(df, spec.key, hot) if hot else (df, None)
-    cold = cold.select(*df.columns)
+    """Running and trailing features of one key; ``finish`` turns the running columns into outputs.
 
-    cold = cold.withColumn(SLICE, null_spread(spec.key, spec.row_id))
+    ``profile`` may bring the keys above :func:`busy_limit` if they are known already.
+    """
+    prefix = prefix or spec.key
+    if profile is None:
+        profile = find_hot_keys(df, spec.key, busy_limit(bool(windows), with_running, frame_rows, hot_rows))
+    cold, busy = split_hot(df, spec.key, profile) if profile else (df, None)
+    cold = cold.select(*df.columns, null_spread(spec.key, spec.row_id).alias(SLICE))
     # row frames first, range frames second: one exchange and one sort serve both
     if with_running:
         cold = finish(running(cold, spec)).drop(*RUNNING)
     if windows:
         cold = trailing(cold, spec, windows, prefix)
     cold = cold.drop(SLICE)
-    if warm is None:
+    if busy is None:
         return cold
-
+    busy = busy.select(*df.columns)
     if with_running:
-        slices = slice_count(warm, rows_per_slice, rows=hot.rows)
-        sliced = range_slices(warm, [spec.key, *spec.order], slices, "running")
-        warm = finish(running_sliced(sliced, spec, slices + hot.keys)).drop(SLICE, *RUNNING)
+        busy = running_for_busy_keys(busy, spec, finish, profile.above(hot_rows), rows_per_slice)
     if windows:
-        warm = trailing_prefix(warm, spec, windows, prefix, hot, rows_per_slice)
-    return cold.unionByName(warm).select(*cold.columns)
+        busy = trailing_prefix(busy, spec, windows, prefix, profile, rows_per_slice)
+    return cold.unionByName(busy.select(*cold.columns))
+
+
+def busy_limit(windows: bool, with_running: bool, frame_rows: int = FRAME_ROWS, hot_rows: int = HOT_ROWS) -> int:
+    return min([frame_rows] * windows + [hot_rows] * with_running)

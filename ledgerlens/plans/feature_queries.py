@@ -59,7 +59,7 @@ def w1_velocity_ties(spark, sf_dir):
 @query("w1_velocity_hot_keys", velocity_sql(EVENTS_SQL, "event_type", "event_id", "value"))
 def w1_velocity_hot_keys(spark, sf_dir):
     """Five keys hold all rows: every one is cut into slices."""
-    df = velocity(events(spark, sf_dir), TYPE, hot_rows=1_000, rows_per_slice=20_000)
+    df = velocity(events(spark, sf_dir), TYPE, frame_rows=1_000, rows_per_slice=20_000)
     return velocity_out(df, "event_type", "event_id")
 
 
@@ -224,7 +224,7 @@ def j6_point_in_time_join_hot_keys(spark, sf_dir):
     """Two keys hold all rows."""
     df = events(spark, sf_dir).withColumn("half", (F.col("value") > 50).cast("int"))
     out = J.point_in_time(
-        df.where("label = 1"), df.where("label = 0"), ENCODED_ROLE, "half", hot_rows=1_000, rows_per_slice=20_000
+        df.where("label = 1"), df.where("label = 0"), ENCODED_ROLE, "half", frame_rows=1_000, hot_rows=1_000, rows_per_slice=20_000
     )
     return out.select(
         "event_id", "half_count_1hr", near("half_amt_sum_1hr").alias("half_amt_sum_1hr"),

@@ -28,15 +28,22 @@ def slice_count(df: DataFrame, rows_per_slice: int = ROWS_PER_SLICE, rows: int |
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Keys above the row limit. ``table`` has at most (all rows / limit) rows."""
+    """Keys above a row limit with their ``_rows``. There are at most (all rows / limit) of them."""
 
-    table: DataFrame | None
-    keys: int
-    rows: int
+    table: DataFrame | None = None
+    keys: int = 0
+    rows: int = 0
 
     def __bool__(self) -> bool:
         return self.table is not None
 
+    def above(self, limit: int) -> HotKeys:
+        if not self:
+            return self
+        table = self.table.where(F.col("_rows") > limit)
+        keys, rows = table.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+        return HotKeys(table, keys, rows) if keys else HotKeys()
+
 
 def find_hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> HotKeys:
     """Count rows per key (combined before the shuffle) and keep the keys above ``limit``."""
@@ -48,18 +55,18 @@ def find_hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> HotKeys:
     )
     found = counted.limit(BROADCAST_ROWS + 1).collect()
     if not found:
-        return HotKeys(None, 0, 0)
+        return HotKeys()
     if len(found) <= BROADCAST_ROWS:
         table = df.sparkSession.createDataFrame(found, counted.schema)
-        return HotKeys(table.select(key), len(found), sum(r["_rows"] for r in found))
+        return HotKeys(table, len(found), sum(r["_rows"] for r in found))
     table = save(counted, "hot-keys")
     keys, rows = table.agg(F.count(F.lit(1)), F.sum("_rows")).first()
-    return HotKeys(table.select(key), keys, rows)
+    return HotKeys(table, keys, rows)
 
 
 def split_hot(df: DataFrame, key: str, hot: HotKeys) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary and null keys, rows of hot keys)."""
-    table = broadcast_if_small(hot.table, hot.keys)
+    table = broadcast_if_small(hot.table.select(key), hot.keys)
     return df.join(table, key, "left_anti"), df.join(table, key, "left_semi")
 
 
