@@ -65,6 +65,38 @@ def stream_out(df, prefixes=("user", "kind")):
     return df.select(*columns)
 
 
+def stored_state(spark, sf_dir, variable):
+    """State of the users after the whole table has streamed, read back from the checkpoint."""
+    df = events(spark, sf_dir).select("event_id", "t", "value", "user_id")
+    roles = ST.StreamRoles({"user": "user_id"}, "event_id", "t", "value", SECOND)
+    session = ST.streaming_session(spark, spark.sparkContext.defaultParallelism)
+    folder, checkpoint = scratch_path(spark, "stream-source"), scratch_path(spark, "state-checkpoint")
+    df.write.parquet(folder)
+    ST.start_features(read_stream(session, folder, df.schema), roles, scratch_path(spark, "state"), checkpoint).awaitTermination()
+    return session.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+
+
+@query("t5_running_stats_in_state", f"""
+WITH e AS ({EVENTS_SQL})
+SELECT CAST(user_id AS VARCHAR) AS entity_id, count(*) AS n, {near_sql('avg(value)', 4)} AS mean, {near_sql('stddev_samp(value)', 4)} AS std,
+       min(t) AS first_seen, max(t) AS last_seen FROM e GROUP BY user_id""")
+def t5_running_stats_in_state(spark, sf_dir):
+    stats = stored_state(spark, sf_dir, "stats").select("key.entity_id", "value.value.*")
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1)))
+    return stats.select("entity_id", "n", near("mean", 4).alias("mean"), near(std, 4).alias("std"), "first_seen", "last_seen")
+
+
+@query("t3_state_retention", f"""
+WITH e AS ({EVENTS_SQL}), s AS (SELECT *, max(t) OVER (PARTITION BY user_id) AS last FROM e)
+SELECT CAST(user_id AS VARCHAR) AS entity_id, t, count(*) AS rows, {near_sql('sum(value)')} AS amount FROM s WHERE t >= last - {7 * DAY_US} GROUP BY user_id, t""")
+def t3_state_retention(spark, sf_dir):
+    """Instants that the state still holds: none older than seven days before the user's last event."""
+    hour = "user_map_value.value"
+    instants = F.explode(F.arrays_zip(f"{hour}.t", f"{hour}.rows", f"{hour}.amount")).alias("i")
+    hours = stored_state(spark, sf_dir, "hours").select("key.entity_id", instants)
+    return hours.select("entity_id", F.col("i.t").alias("t"), F.col("i.rows").alias("rows"), near(F.col("i.amount")).alias("amount"))
+
+
 @query("t7_cold_start_from_history", f"""
 WITH e AS ({EVENTS_SQL}), a AS (SELECT event_id, t, {stream_sql('user_id', 'user', False)} FROM e)
 SELECT * EXCLUDE (t) FROM a WHERE t >= {MIDDLE}""")

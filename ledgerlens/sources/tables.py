@@ -39,13 +39,13 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_files: int | None = None
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_bytes: int = 1 << 30
 ) -> DataFrame:
-    """Transactions that arrive as files; any other streaming source with the schema serves as well."""
-    reader = spark.readStream.schema(schema).format(fmt)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path)
+    """Transactions that arrive as files; any other streaming source with the schema serves as well.
+
+    ``max_bytes`` bounds a micro-batch, and with it the rows that one entity can bring to one task.
+    """
+    return spark.readStream.schema(schema).format(fmt).option("maxBytesPerTrigger", max_bytes).load(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -71,6 +71,10 @@ def test_shuffled_micro_batches_equal_batch_windows(session, folder, rows):
         jobs.start_features(stream(session, folder), ROLES, f"{folder}/out", f"{folder}/ck").awaitTermination()
     assert_same(session, folder, rows, "card1", "card1")
     assert_same(session, folder, rows, "email", "P_emaildomain")
+    # idle state expires 90 days after its last write
+    state = session.read.format("statestore").option("stateVarName", "stats").load(f"{folder}/ck")
+    days = state.select((F.col("value.ttlExpirationMs") / 1000 - F.unix_timestamp()) / 86400).collect()
+    assert len(days) == 5 and all(89.9 < d[0] <= 90 for d in days)
 
 
 def test_cold_start_equals_a_longer_stream(session, folder, rows):
