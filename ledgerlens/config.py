@@ -70,10 +70,14 @@ BATCH_SIZE_BUCKETS = [1, 5, 10, 25, 50, 100, 250, 500, 1000, 5000, 10000]
 # --- tuning defaults: any value gives the same results ---
 
 # a key with more rows than this gets its trailing windows from prefix sums instead of range frames
-FRAME_ROWS = 10_000
+FRAME_ROWS = 4_000
 # a key with more rows than this is split over several tasks
 HOT_ROWS = 1_000_000
 # rows of a hot key, or of a global order, that one task handles
 ROWS_PER_SLICE = 1_000_000
 # at most this many rows are ever sent to every executor
 BROADCAST_ROWS = 100_000
+# exact quantiles of more rows than this first narrow down to the values near the wanted ranks
+NARROW_ROWS = 5_000_000
+# accuracy of the sketch that finds these values
+SKETCH_ACCURACY = 10_000

@@ -8,67 +8,63 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import (
-    DRIFT_FRACTION, DRIFT_MIN_ROWS, LABEL, LABEL_DRIFT, MONITORED_FEATURES, PSI_BINS, PSI_CRITICAL, PSI_FLOOR,
+    DRIFT_FRACTION, DRIFT_MIN_ROWS, LABEL, LABEL_DRIFT, MONITORED_FEATURES, NARROW_ROWS, PSI_BINS, PSI_CRITICAL, PSI_FLOOR,
     PSI_MIN_VALUES, PSI_WARNING, ROWS_PER_SLICE,
 )
 from ledgerlens.functions.scalars import floor_clip
-from ledgerlens.operators.quantiles import count_slices, quantiles_of_counts
+from ledgerlens.operators.quantiles import few_group_quantiles
 
 log = logging.getLogger(__name__)
 
 
-def _long(df: DataFrame, features: list[str], side: str) -> DataFrame:
+def _long(df: DataFrame, features: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
-    return df.select(F.explode(pairs).alias("p")).select(
-        "p.feature", "p.value", F.lit(int(side == "expected")).alias("e"), F.lit(int(side == "actual")).alias("a")
-    ).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    long = df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value")
+    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
 
 
 def psi_table(
     expected: DataFrame, actual: DataFrame, features: list[str], bins: int = PSI_BINS, open_ends: bool = False,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    rows_per_slice: int = ROWS_PER_SLICE, narrow_rows: int = NARROW_ROWS,
 ) -> DataFrame:
-    """``(feature, psi)`` for all features in one job.
+    """``(feature, psi)`` for all features together.
 
-    Values are combined to (feature, value) counts first. Bin edges are exact interpolated quantiles
-    of the expected side; equal edges collapse. Actual values outside the edges are ignored, or join
-    the end bins with ``open_ends``.
+    Bin edges are exact interpolated quantiles of the expected side; equal edges collapse. One pass over
+    both sides then counts rows per (feature, bin) before anything is shuffled. Actual values outside the
+    edges are ignored, or join the end bins with ``open_ends``.
     """
     spark = expected.sparkSession
-    counted = (
-        _long(expected, features, "expected").unionByName(_long(actual, features, "actual"))
-        .groupBy("feature", "value").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    long_expected = _long(expected, features)
+    qs = [i / bins for i in range(bins + 1)]
+    found = few_group_quantiles(
+        long_expected, "feature", "value", qs, expected.count() * len(features), narrow_rows,
+        rows_per_slice=rows_per_slice,
     )
-    bound = (expected.count() + actual.count()) * len(features)
-    sliced = count_slices(counted, ["feature"], "value", bound, rows_per_slice)
-    names = [f"edge{i}" for i in range(bins + 1)]
-    quantiles = {name: i / bins for i, name in enumerate(names)}
-    edges = quantiles_of_counts(sliced.where("e > 0"), ["feature"], "value", "e", quantiles)
-    sizes = sliced.groupBy("feature").agg(F.sum("e").alias("n_expected"), F.sum("a").alias("n_actual"))
-    # one row per monitored feature: small enough for the driver, and it keeps the next plan short
-    per_feature = {r["feature"]: r for r in sizes.join(edges, "feature", "left").collect()}
-    usable = []
-    for feature in features:
-        r = per_feature.get(feature)
-        if r and r["n_expected"] >= PSI_MIN_VALUES and r["n_actual"] >= PSI_MIN_VALUES and len({r[n] for n in names}) >= 3:
-            usable.append((feature, *[float(r[n]) for n in names]))
     named = spark.createDataFrame([(f,) for f in features], "feature string")
+    usable = [(f, edges) for f, edges in found.items() if len(set(edges)) >= 3]
     if not usable:
         return named.withColumn("psi", F.lit(0.0))
-    table = spark.createDataFrame(usable, "feature string, " + ", ".join(f"{n} double" for n in names))
-    top = F.col(names[-1])
-    inner: list[Column] = [
-        F.when((F.col("value") >= F.col(name)) & (F.col(name) < top), 1).otherwise(0) for name in names[1:-1]
-    ]
-    binned = sliced.join(F.broadcast(table), "feature").withColumn("bin", sum(inner, F.lit(0)))
-    if not open_ends:
-        binned = binned.where(F.col("value").between(F.col(names[0]), top))
-    per_bin = binned.groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    # one row per monitored feature
+    names = [f"edge{i}" for i in range(bins + 1)]
+    table = spark.createDataFrame(
+        [(f, *map(float, edges)) for f, edges in usable], "feature string, " + ", ".join(f"{n} double" for n in names)
+    )
+    value, top = F.col("value"), F.col(names[-1])
+    inner: list[Column] = [F.when((value >= F.col(n)) & (F.col(n) < top), 1).otherwise(0) for n in names[1:-1]]
+    inside = F.lit(True) if open_ends else value.between(F.col(names[0]), top)
+    sides = long_expected.select("*", F.lit(1).alias("e"), F.lit(0).alias("a")).unionByName(
+        _long(actual, features).select("*", F.lit(0).alias("e"), F.lit(1).alias("a"))
+    )
+    per_bin = sides.join(F.broadcast(table), "feature").select(
+        "feature", "e", "a", F.when(inside, sum(inner, F.lit(0))).otherwise(F.lit(-1)).alias("bin")
+    ).groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
     whole = Window.partitionBy("feature")
-    e = floor_clip(F.col("e") / F.sum("e").over(whole), PSI_FLOOR)
-    a = floor_clip(F.coalesce(F.try_divide(F.col("a"), F.sum("a").over(whole)), F.lit(0.0)), PSI_FLOOR)
-    index = per_bin.select("feature", e.alias("pe"), a.alias("pa")).groupBy("feature").agg(
-        F.sum((F.col("pa") - F.col("pe")) * F.ln(F.col("pa") / F.col("pe"))).alias("psi")
+    sized = per_bin.withColumns({"n_e": F.sum("e").over(whole), "n_a": F.sum("a").over(whole)}).where("bin >= 0")
+    pe = floor_clip(F.col("e") / F.sum("e").over(whole), PSI_FLOOR)
+    pa = floor_clip(F.coalesce(F.try_divide(F.col("a"), F.sum("a").over(whole)), F.lit(0.0)), PSI_FLOOR)
+    enough = (F.col("n_e") >= PSI_MIN_VALUES) & (F.col("n_a") >= PSI_MIN_VALUES)
+    index = sized.select("feature", pe.alias("pe"), pa.alias("pa"), enough.alias("enough")).groupBy("feature").agg(
+        F.sum(F.when(F.col("enough"), (F.col("pa") - F.col("pe")) * F.ln(F.col("pa") / F.col("pe")))).alias("psi")
     )
     return named.join(index, "feature", "left").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
 

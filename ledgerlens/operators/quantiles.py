@@ -2,35 +2,50 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.config import ROWS_PER_SLICE
+from ledgerlens.config import NARROW_ROWS, ROWS_PER_SLICE, SKETCH_ACCURACY
 from ledgerlens.skew import SLICE, range_slices, slice_count
 
 
-def quantiles_of_counts(counted: DataFrame, groups: list[str], value: str, copies: str, quantiles: dict[str, float]) -> DataFrame:
-    """Quantiles from range slices of (group, value, number of copies) rows, distinct in (group, value).
+def ranked_counts(sliced: DataFrame, groups: list[str], value: str, copies: str) -> DataFrame:
+    """Add ``_rank`` of a value's first copy in its group, ``_end`` after its last, and the group's ``_size``.
 
-    A value's rank is its rank in the slice plus the group's copies in earlier slices. Only values that
-    cover a wanted rank go on, so the last aggregation sees at most two rows per group and quantile.
+    ``sliced`` has distinct (group, value) rows in range slices. A value's rank is its rank in the
+    slice plus the group's copies in earlier slices.
     """
     whole = Window.partitionBy(*groups)
     earlier = whole.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     # one row per slice, and one more per group
-    carried = counted.groupBy(*groups, SLICE).agg(F.sum(copies).alias("_n")).select(
+    carried = sliced.groupBy(*groups, SLICE).agg(F.sum(copies).alias("_n")).select(
         *groups, SLICE, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
         F.sum("_n").over(whole).alias("_size"),
     )
     before = Window.partitionBy(SLICE, *groups).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = counted.withColumn("_local", F.coalesce(F.sum(copies).over(before), F.lit(0)))
+    local = sliced.withColumn("_local", F.coalesce(F.sum(copies).over(before), F.lit(0)))
     rank = F.col("_start") + F.col("_local")
-    ranked = local.join(carried, [*groups, SLICE]).select(
+    return local.join(carried, [*groups, SLICE]).select(
         *groups, value, "_size", rank.alias("_rank"), (rank + F.col(copies)).alias("_end")
     )
 
-    def covers(position: Column) -> Column:
-        return (F.col("_rank") <= position) & (position < F.col("_end"))
+
+def covers(position: Column) -> Column:
+    return (F.col("_rank") <= position) & (position < F.col("_end"))
+
+
+def between(low: Column, high: Column, part: Column) -> Column:
+    return F.when(low == high, low).otherwise(low + (high - low) * part)
+
+
+def quantiles_of_counts(
+    sliced: DataFrame, groups: list[str], value: str, copies: str, quantiles: dict[str, float]
+) -> DataFrame:
+    """One column per quantile. Only values that cover a wanted rank go on, so the last aggregations see
+    at most two rows per group and quantile."""
+    ranked = ranked_counts(sliced, groups, value, copies)
 
     def position(q: Column) -> Column:
         return q * (F.col("_size") - 1)
@@ -44,9 +59,7 @@ def quantiles_of_counts(counted: DataFrame, groups: list[str], value: str, copie
         F.max(F.when(covers(F.ceil(at)), F.col(value))).alias("high"),
         F.first(at - F.floor(at)).alias("part"),
     )
-    found = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(
-        F.col("low") + (F.col("high") - F.col("low")) * F.col("part")
-    )
+    found = between(F.col("low"), F.col("high"), F.col("part"))
     return ends.withColumn("_found", found).groupBy(*groups).agg(*[
         F.max(F.when(F.col("_q") == q, F.col("_found"))).alias(name) for name, q in quantiles.items()
     ])
@@ -59,10 +72,78 @@ def count_slices(
 
 
 def grouped_quantiles(
-    df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float], rows_per_slice: int = ROWS_PER_SLICE
+    df: DataFrame, groups: list[str], value: str, quantiles: dict[str, float], rows_per_slice: int = ROWS_PER_SLICE,
+    rows: int | None = None,
 ) -> DataFrame:
     """``groups`` plus one column per quantile; nulls are ignored."""
     known = df.where(F.col(value).isNotNull())
     counted = known.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_copies"))
-    sliced = count_slices(counted, groups, value, known.count(), rows_per_slice)
+    rows = known.count() if rows is None else rows
+    sliced = count_slices(counted, groups, value, rows, rows_per_slice)
     return quantiles_of_counts(sliced, groups, value, "_copies", quantiles)
+
+
+def few_group_quantiles(
+    df: DataFrame, group: str, value: str, quantiles: list[float], rows: int, narrow_rows: int = NARROW_ROWS,
+    accuracy: int = SKETCH_ACCURACY, rows_per_slice: int = ROWS_PER_SLICE,
+) -> dict[str, list[float]]:
+    """Exact quantiles for a handful of groups, such as the monitored features; returns them to the driver.
+
+    ``df`` has no nulls, ``rows`` is a bound of its size. A large table is narrowed down: a mergeable sketch
+    brackets every wanted rank, one pass counts the values below the brackets, and only the values inside,
+    a few per mille of the rows, are ordered.
+    """
+    qs = sorted(set(quantiles))
+    found = _narrowed(df, group, value, qs, accuracy, rows_per_slice) if rows > narrow_rows else None
+    if found is None:
+        names = {f"q{i}": q for i, q in enumerate(qs)}
+        exact = grouped_quantiles(df, [group], value, names, rows_per_slice, rows)
+        found = {r[group]: [r[n] for n in names] for r in exact.collect()}
+    return found
+
+
+def _narrowed(
+    df: DataFrame, group: str, value: str, qs: list[float], accuracy: int, rows_per_slice: int
+) -> dict[str, list[float]] | None:
+    """None if a bracket misses its rank, which a group of few rows can cause."""
+    margin = 2 / accuracy
+    probes = [min(max(q + side * margin, 0.0), 1.0) for q in qs for side in (-1, 1)]
+    sketch = df.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, probes, accuracy).alias("p")
+    ).collect()
+    spark = df.sparkSession
+    brackets = spark.createDataFrame(
+        [(r[group], [float(v) for v in r["p"][::2]], [float(v) for v in r["p"][1::2]]) for r in sketch],
+        f"{group} string, lows array<double>, highs array<double>",
+    )
+    placed = df.join(F.broadcast(brackets), group)
+    below = placed.groupBy(group).agg(*[
+        F.count_if(F.col(value) < F.col("lows")[i]).alias(f"b{i}") for i in range(len(qs))
+    ])
+    inside = F.filter(
+        F.sequence(F.lit(0), F.lit(len(qs) - 1)),
+        lambda i: F.col(value).between(F.element_at("lows", i + 1), F.element_at("highs", i + 1)),
+    )
+    near = placed.select(group, F.col(value), F.explode(inside).alias("_i"))
+    counted = near.groupBy(group, "_i", value).agg(F.count(F.lit(1)).alias("_copies"))
+    under = {r[group]: [r[f"b{i}"] for i in range(len(qs))] for r in below.collect()}
+    sizes = {r[group]: r["n"] for r in sketch}
+    targets = []
+    for name, n in sizes.items():
+        for i, q in enumerate(qs):
+            position = q * (n - 1)
+            low, high = math.floor(position), math.ceil(position)
+            targets.append((name, i, low - under[name][i], high - under[name][i], position - low))
+    wanted = spark.createDataFrame(targets, f"{group} string, _i int, _low long, _high long, _part double")
+    expected = int(sum(sizes.values()) * margin * 3 * len(qs)) + 1
+    sliced = count_slices(counted, [group, "_i"], value, expected, rows_per_slice)
+    hits = ranked_counts(sliced, [group, "_i"], value, "_copies").join(F.broadcast(wanted), [group, "_i"]).where(
+        covers(F.col("_low")) | covers(F.col("_high"))
+    )
+    ends = hits.groupBy(group, "_i").agg(
+        F.max(F.when(covers(F.col("_low")), F.col(value))).alias("low"),
+        F.max(F.when(covers(F.col("_high")), F.col(value))).alias("high"), F.first("_part").alias("part"),
+    ).select(group, "_i", between(F.col("low"), F.col("high"), F.col("part")).alias("found")).collect()
+    values = {(r[group], r["_i"]): r["found"] for r in ends}
+    out = {name: [values.get((name, i)) for i in range(len(qs))] for name in sizes}
+    return None if any(v is None for found in out.values() for v in found) else out

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import drift, evaluation, monitoring, ordered
+from ledgerlens.operators import drift, evaluation, monitoring, ordered, quantiles
 from ledgerlens.operators.importance import importance
 from ledgerlens.operators.quantiles import grouped_quantiles
 
@@ -138,6 +138,19 @@ def test_psi(spark):
     assert got["few"] == got["empty"] == got["constant"] == 0.0
 
 
+def test_narrowed_quantiles_are_exact(spark):
+    rng = np.random.default_rng(3)
+    columns = {"normal": rng.normal(0, 1, 20_000), "counts": rng.poisson(4, 20_000).astype(float), "few": np.arange(25.0)}
+    rows = [(f, float(v)) for f, vs in columns.items() for v in vs]
+    df = spark.createDataFrame(rows, "feature string, value double").repartition(4)
+    qs = [i / 10 for i in range(11)]
+    large = df.where("feature <> 'few'")
+    narrowed = quantiles._narrowed(large, "feature", "value", qs, 2_000, 100)
+    assert narrowed == {f: pytest.approx(list(np.percentile(columns[f], np.arange(0, 101, 10)))) for f in ("normal", "counts")}
+    found = quantiles.few_group_quantiles(df, "feature", "value", qs, len(rows), narrow_rows=10, accuracy=2_000)
+    assert found == {f: pytest.approx(list(np.percentile(v, np.arange(0, 101, 10)))) for f, v in columns.items()}
+
+
 def test_psi_of_values_outside_the_range(spark):
     inside = spark.range(100).select(F.col("id").cast("double").alias("x"))
     outside = inside.select((F.col("x") + 1000).alias("x"))
