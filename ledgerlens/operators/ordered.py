@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import (
-    ATTRIBUTION_ROWS, EXAMPLES_PER_CLASS, ID, LABEL, ROWS_PER_SLICE, TIME, TRAIN_RATIO,
+    ATTRIBUTION_ROWS, EXAMPLES_PER_CLASS, ID, LABEL, NARROW_ROWS, ROWS_PER_SLICE, SKETCH_ACCURACY, TIME, TRAIN_RATIO,
 )
 from ledgerlens.skew import SLICE, broadcast_if_small, range_slices, slice_count
 
@@ -51,14 +51,52 @@ def row_index(
 
 def rows_at(
     df: DataFrame, order: list[str], ranks: list[int], rows_per_slice: int = ROWS_PER_SLICE,
-    rows: int | None = None,
+    rows: int | None = None, narrow_rows: int = NARROW_ROWS,
 ) -> list[tuple]:
-    """The order columns of the rows at the given positions; moves only these columns."""
+    """The order columns of the rows at the given positions. Moves only these columns, and of a large
+    table only the rows around the wanted positions."""
     if not ranks:
         return []
-    indexed = row_index(df.select(*order), order, "_rank", rows_per_slice, rows)
-    found = {r["_rank"]: tuple(r[c] for c in order) for r in indexed.where(F.col("_rank").isin(ranks)).collect()}
-    return [found[rank] for rank in ranks]
+    rows = df.count() if rows is None else rows
+    keys, at = df.select(*order), {rank: rank for rank in ranks}
+    if rows > narrow_rows:
+        keys, at = near_ranks(keys, order[0], ranks, rows)
+    indexed = row_index(keys, order, "_rank", rows_per_slice, None if rows > narrow_rows else rows)
+    wanted = indexed.where(F.col("_rank").isin(list(at.values()))).collect()
+    found = {r["_rank"]: tuple(r[c] for c in order) for r in wanted}
+    return [found[at[rank]] for rank in ranks]
+
+
+def near_ranks(
+    df: DataFrame, column: str, ranks: list[int], rows: int, accuracy: int = SKETCH_ACCURACY
+) -> tuple[DataFrame, dict[int, int]]:
+    """(rows around the given positions, their positions among these rows).
+
+    A mergeable sketch brackets every position, and one pass counts the rows below and inside the brackets.
+    Should a bracket miss its position, all rows are kept.
+    """
+    margin = 2 / accuracy
+    probes = [min(max(rank / rows + side * margin, 0.0), 1.0) for rank in ranks for side in (-1, 1)]
+    values = df.agg(F.percentile_approx(column, probes, accuracy)).first()[0]
+    brackets: list[list] = []
+    for low, high in sorted(zip(values[::2], values[1::2])):
+        if brackets and low <= brackets[-1][1]:
+            brackets[-1][1] = max(brackets[-1][1], high)
+        else:
+            brackets.append([low, high])
+    within = [F.col(column).between(low, high) for low, high in brackets]
+    counts = df.agg(
+        *[F.count_if(F.col(column) < low) for low, _ in brackets], *[F.count_if(c) for c in within]
+    ).first()
+    below, inside = counts[:len(brackets)], counts[len(brackets):]
+    at = {}
+    for rank in ranks:
+        for i in range(len(brackets)):
+            if below[i] <= rank < below[i] + inside[i]:
+                at[rank] = rank - below[i] + sum(inside[:i])
+    if len(at) < len(set(ranks)):
+        return df, {rank: rank for rank in ranks}
+    return df.where(reduce(lambda a, b: a | b, within)), at
 
 
 def at_or_after(order: list[str], bound: tuple) -> Column:

@@ -216,6 +216,19 @@ def test_row_index_and_split(unordered):
         ordered.with_fold(unordered.limit(3), 5, order)
 
 
+def test_rows_at_positions(unordered, spark):
+    order = ["TransactionDT", "TransactionID"]
+    expected = sorted((r.TransactionDT, r.TransactionID) for r in unordered.collect())
+    ranks = [0, 5, 400, 401, 996]
+    for narrow_rows in (10, 10_000):
+        assert ordered.rows_at(unordered, order, ranks, 100, narrow_rows=narrow_rows) == [expected[r] for r in ranks]
+    many = spark.range(50_000).select(F.pmod(F.xxhash64("id"), F.lit(20_000)).alias("t"), "id")
+    times = sorted((r.t, r.id) for r in many.collect())
+    near, at = ordered.near_ranks(many, "t", [10_000, 40_000], 50_000)
+    assert near.count() < 500 and at[10_000] < at[40_000] < 500
+    assert ordered.rows_at(many, ["t", "id"], [40_000, 10_000], narrow_rows=10) == [times[40_000], times[10_000]]
+
+
 def test_wide_rows_never_meet_in_one_task(unordered):
     indexed = ordered.row_index(unordered, ["TransactionDT", "TransactionID"], rows_per_slice=100)
     plan = indexed._jdf.queryExecution().executedPlan().toString()
