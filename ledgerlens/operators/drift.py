@@ -140,6 +140,7 @@ def drift_decision(
         F.count_if(F.col("status") == "CRITICAL").alias("critical"),
     ).withColumn("_share", share)
     features_moved = F.col("_share") >= fraction
+    # the texts of the reason are fixed values
     reasons = F.concat_ws(
         " AND ",
         F.when(features_moved, F.format_string(

@@ -65,8 +65,12 @@ def day_of(time: str = TIME, ticks: int = 1) -> Column:
 
 
 def append_log(df: DataFrame, path: str, time: str = TIME, ticks: int = 1, day: str = "day") -> None:
-    """Append to a log partitioned by day, so that retention and drift read only the days they need."""
-    df.withColumn(day, day_of(time, ticks)).write.mode("append").partitionBy(day).parquet(path)
+    """Append to a log partitioned by day, so that retention and drift read only the days they need.
+
+    Rebalancing gathers a day's rows into few files and splits a busy day over several tasks.
+    """
+    dated = df.withColumn(day, day_of(time, ticks)).hint("rebalance", F.col(day))
+    dated.write.mode("append").partitionBy(day).parquet(path)
 
 
 def scored_log_rows(scored: DataFrame) -> DataFrame:
