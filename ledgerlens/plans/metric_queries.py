@@ -228,9 +228,12 @@ y AS (SELECT round(avg(label) FILTER (NOT late), 4) AS b, round(avg(label) FILTE
       count(*) FILTER (late) AS np FROM x),
 j AS (SELECT count(*) AS total, count(*) FILTER (psi < 0.1) AS ok, count(*) FILTER (psi >= 0.1 AND psi < 0.25) AS warning,
       count(*) FILTER (psi >= 0.25) AS critical FROM p)
-SELECT FALSE AS skipped, total AS total_features, ok, warning, critical, round(critical / total, 4) AS drift_fraction, nb AS baseline_rows,
-       np AS production_rows, critical / total >= 0.15 OR abs(p - b) > 0.05 AS should_retrain,
-       CASE WHEN critical / total >= 0.15 THEN critical || '/' || total || ' features (' || round(100 * critical / total)::INT || '%) exceeded critical PSI threshold'
+SELECT np < 500 AS skipped, CASE WHEN np >= 500 THEN total END AS total_features, CASE WHEN np >= 500 THEN ok END AS ok,
+       CASE WHEN np >= 500 THEN warning END AS warning, CASE WHEN np >= 500 THEN critical END AS critical,
+       CASE WHEN np >= 500 THEN round(critical / total, 4) END AS drift_fraction, CASE WHEN np >= 500 THEN nb END AS baseline_rows,
+       np AS production_rows, np >= 500 AND (critical / total >= 0.15 OR abs(p - b) > 0.05) AS should_retrain,
+       CASE WHEN np < 500 THEN 'Insufficient production data (' || np || ' < 500)'
+            WHEN critical / total >= 0.15 THEN critical || '/' || total || ' features (' || round(100 * critical / total)::INT || '%) exceeded critical PSI threshold'
             ELSE 'No significant drift detected' END AS reason
 FROM j, y""")
 def a24_drift_decision(spark, sf_dir):
