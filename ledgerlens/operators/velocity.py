@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ledgerlens.config import VELOCITY_WINDOWS
 from ledgerlens.operators.keyed import Keyed, keyed_features

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerlens.config import DAY
 from ledgerlens.operators import monitoring as M
 from ledgerlens.operators.state import seed_rows
 from ledgerlens.plans.feature_queries import USER, WINDOWS_US
