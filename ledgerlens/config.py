@@ -75,6 +75,8 @@ FRAME_ROWS = 4_000
 HOT_ROWS = 1_000_000
 # rows of a hot key, or of a global order, that one task handles
 ROWS_PER_SLICE = 1_000_000
+# parts over which a shuffled lookup deals the rows of a hot key
+SALTS = 32
 # at most this many rows are ever sent to every executor
 BROADCAST_ROWS = 100_000
 # exact quantiles of more rows than this first narrow down to the values near the wanted ranks

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.config import BROADCAST_ROWS, ID, LABEL, VELOCITY_WINDOWS
+from ledgerlens.config import BROADCAST_ROWS, HOT_ROWS, ID, LABEL, VELOCITY_WINDOWS
 from ledgerlens.operators.history import zscore
 from ledgerlens.operators.keyed import Keyed, keyed_features
-from ledgerlens.skew import broadcast_if_small
+from ledgerlens.skew import broadcast_if_small, find_hot_keys, salted
 
 
 def left_join(left: DataFrame, right: DataFrame, on: str = ID) -> DataFrame:
@@ -53,24 +53,24 @@ def attach_labels(
 
 def lookup(
     df: DataFrame, table: DataFrame, key: str, value: str, out: str, default: Column, rows: int,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS, hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add ``out``: the table's value for ``key``, or ``default`` for unknown and missing keys.
 
-    ``table`` must be unique in ``key``; ``rows`` is a count of it that decides on broadcasting.
-    In a shuffled join rows without a key are spread evenly instead of meeting in one task.
+    ``table`` must be unique in ``key``; ``rows`` is a count of it that decides on broadcasting. In a shuffled join
+    rows without a key are spread evenly, and keys with more than ``hot_rows`` rows are dealt over several tasks.
     """
     table = table.select(F.col(key).alias("_key"), F.col(value).alias("_value"))
     if rows <= broadcast_rows:
         joined = df.join(broadcast_if_small(table, rows, broadcast_rows), F.col(key) == F.col("_key"), "left")
         return joined.withColumn(out, F.coalesce("_value", default)).drop("_key", "_value")
-    spread = df.withColumn("_spread", F.when(F.col(key).isNull(), F.xxhash64(*df.columns)).otherwise(F.lit(0).cast("long")))
-    table = table.withColumn("_zero", F.lit(0).cast("long"))
-    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_spread") == F.col("_zero"))
+    left, right = salted(df, table, key, "_key", find_hot_keys(df, key, hot_rows))
+    right = right.withColumnRenamed("_spread", "_part")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_spread") == F.col("_part"))
     return (
-        spread.join(table, same, "left")
+        left.join(right, same, "left")
         .withColumn(out, F.coalesce("_value", default))
-        .drop("_key", "_value", "_spread", "_zero")
+        .drop("_key", "_value", "_spread", "_part")
     )
 
 

@@ -1,7 +1,8 @@
 """Global order without a single-task window: row numbers, prefix sums, splits and examples.
 
 Rows are range-partitioned on the order columns into slices of bounded size. Totals per slice give
-every slice its offset, and windows run inside the slices.
+every slice its offset, and windows run inside the slices. Nulls of an order column come last, in every
+operator of this module.
 """
 
 from __future__ import annotations
@@ -17,11 +18,16 @@ from ledgerlens.config import (
 from ledgerlens.skew import SLICE, broadcast_if_small, range_slices, slice_count
 
 
+def nulls_last(order: list[str | Column]) -> list[Column]:
+    return [F.col(c).asc_nulls_last() if isinstance(c, str) else c for c in order]
+
+
 def prefix_sums(
     df: DataFrame, order: list[str], sums: dict[str, Column], slices: int, label: str = "order"
 ) -> DataFrame:
     """Add, for every entry of ``sums``, its sum over the rows strictly before in ``order``."""
     inputs = {f"_in_{name}": c for name, c in sums.items()}
+    order = nulls_last(order)
     sliced = range_slices(df.withColumns(inputs), order, slices, label)
     # one row per slice
     earlier = Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
@@ -72,11 +78,14 @@ def near_ranks(
 ) -> tuple[DataFrame, dict[int, int]]:
     """(rows around the given positions, their positions among these rows).
 
-    A mergeable sketch brackets every position, and one pass counts the rows below and inside the brackets.
-    Should a bracket miss its position, all rows are kept.
+    A mergeable sketch brackets every position among the rows with a value, and one pass counts the rows below and
+    inside the brackets. Nulls come last: a position among them, or one that its bracket misses, keeps all rows.
     """
     margin = 2 / accuracy
-    probes = [min(max(rank / rows + side * margin, 0.0), 1.0) for rank in ranks for side in (-1, 1)]
+    known = df.agg(F.count(column)).first()[0]
+    if max(ranks) >= known:
+        return df, {rank: rank for rank in ranks}
+    probes = [min(max(rank / known + side * margin, 0.0), 1.0) for rank in ranks for side in (-1, 1)]
     values = df.agg(F.percentile_approx(column, probes, accuracy)).first()[0]
     brackets: list[list] = []
     for low, high in sorted(zip(values[::2], values[1::2])):
@@ -100,11 +109,12 @@ def near_ranks(
 
 
 def at_or_after(order: list[str], bound: tuple) -> Column:
-    """``order >= bound`` compared column by column."""
+    """``order >= bound`` compared column by column, nulls last; never null itself."""
     later, equal = [], F.lit(True)
     for name, value in zip(order, bound):
-        later.append(equal & (F.col(name) > F.lit(value)))
-        equal = equal & (F.col(name) == F.lit(value))
+        after = F.lit(False) if value is None else F.coalesce(F.col(name) > F.lit(value), F.lit(True))
+        later.append(equal & after)
+        equal = equal & F.col(name).eqNullSafe(F.lit(value))
     return reduce(lambda a, b: a | b, later) | equal
 
 
@@ -151,16 +161,18 @@ def first_per_class(
     name: str = "class_rank",
 ) -> DataFrame:
     """The first ``n`` rows of every class; each task passes on at most ``n`` rows per class."""
-    ranked = Window.partitionBy(label).orderBy(*order)
+    ranked = Window.partitionBy(label).orderBy(*nulls_last(order))
     return df.withColumn(name, F.row_number().over(ranked)).where(F.col(name) <= n)
 
 
 def seeded_sample(
     df: DataFrame, n: int = ATTRIBUTION_ROWS, seed: int = 42, row_id: str = ID, order: list[str] = (TIME, ID)
 ) -> DataFrame:
-    """At most ``n`` rows without replacement, the same for the same seed, in time order."""
-    lottery = F.xxhash64(F.col(row_id), F.lit(seed))
-    return df.orderBy(lottery, row_id).limit(n).orderBy(*order)
+    """At most ``n`` rows without replacement, the same for the same seed, in time order.
+
+    The lottery is the MD5 of id and seed, which any engine can repeat."""
+    lottery = F.md5(F.concat_ws("|", F.col(row_id).cast("string"), F.lit(str(seed))))
+    return df.orderBy(lottery, row_id).limit(n).orderBy(*nulls_last(order))
 
 
 def top_k(df: DataFrame, by: str, k: int, tie: str) -> DataFrame:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import STATE_RETENTION
 from ledgerlens.operators.history import zscore
+from ledgerlens.operators.joins import lookup
 from ledgerlens.operators.keyed import Keyed
 from ledgerlens.scratch import save
-from ledgerlens.skew import broadcast_if_small
 
 
 def entity_stats(df: DataFrame, spec: Keyed) -> DataFrame:
@@ -29,11 +29,12 @@ def entity_stats(df: DataFrame, spec: Keyed) -> DataFrame:
 
 def deviation_from_stats(df: DataFrame, stats: DataFrame, spec: Keyed, prefix: str, stat_rows: int) -> DataFrame:
     """Deviation and z-score of amounts against stored statistics."""
-    table = broadcast_if_small(stats.select(spec.key, "mean", "std"), stat_rows)
-    deviation = F.col(spec.amount) - F.col("mean")
-    return df.join(table, spec.key, "left").withColumns({
-        f"{prefix}_deviation": deviation, f"{prefix}_zscore": zscore(deviation, F.col("std")),
-    }).drop("mean", "std")
+    known = stats.select(spec.key, F.struct("mean", "std").alias("_stats"))
+    none = F.lit(None).cast(known.schema["_stats"].dataType)
+    deviation = F.col(spec.amount) - F.col("_known.mean")
+    return lookup(df, known, spec.key, "_stats", "_known", none, stat_rows).withColumns({
+        f"{prefix}_deviation": deviation, f"{prefix}_zscore": zscore(deviation, F.col("_known.std")),
+    }).drop("_known")
 
 
 def bootstrap_state(
@@ -41,8 +42,9 @@ def bootstrap_state(
 ) -> tuple[DataFrame, DataFrame]:
     """(statistics over all history, events within ``retention`` of the key's last one)."""
     stats = save(entity_stats(df, spec), "entity-stats")
-    last = broadcast_if_small(stats.select(spec.key, F.col("last_seen").alias("_last")), stats.count())
-    events = df.select(spec.key, spec.row_id, spec.time, spec.amount).join(last, spec.key)
+    events = df.select(spec.key, spec.row_id, spec.time, spec.amount).where(F.col(spec.key).isNotNull())
+    never = F.lit(None).cast(stats.schema["last_seen"].dataType)
+    events = lookup(events, stats, spec.key, "last_seen", "_last", never, stats.count())
     recent = events.where(F.col(spec.time) > F.col("_last") - F.lit(retention * spec.ticks)).drop("_last")
     return stats, recent
 

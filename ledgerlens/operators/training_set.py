@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +72,9 @@ def snapshot_baseline(spark, source: str, target: str, promoted: bool) -> bool:
         return False
     try:
         table = spark.read.parquet(source)
-    except Exception as error:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         log.warning("baseline source %s not readable, drift baseline unchanged: %s", source, error)
         return False
     table.write.mode("overwrite").parquet(target)

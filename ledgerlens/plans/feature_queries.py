@@ -364,6 +364,112 @@ def w6_ordered_split(spark, sf_dir):
     )
 
 
+@query("w6_ordered_split_slices", f"""
+WITH o AS ({ORDERS_SQL}), i AS (SELECT o_orderkey, row_number() OVER (ORDER BY t, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM o)
+SELECT o_orderkey, CASE WHEN pos < floor(n * 0.8) THEN 'train' ELSE 'validate' END AS part FROM i""")
+def w6_ordered_split_slices(spark, sf_dir):
+    """The same split over at least eight slices."""
+    df = orders(spark, sf_dir)
+    train, rest = O.ordered_split(df, ["t", "o_orderkey"], rows_per_slice=max(1, df.count() // 8))
+    return train.select("o_orderkey", F.lit("train").alias("part")).unionByName(
+        rest.select("o_orderkey", F.lit("validate").alias("part"))
+    )
+
+
+NULL_TIMES_SQL = f"""
+WITH o AS ({ORDERS_SQL}),
+m AS (SELECT o_orderkey, label, CASE WHEN o_orderkey % 10 = 3 THEN NULL ELSE t END AS t FROM o),
+i AS (SELECT *, row_number() OVER (ORDER BY t NULLS LAST, o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM m)"""
+
+
+def orders_without_times(spark, sf_dir):
+    df = orders(spark, sf_dir)
+    return df.withColumn("t", F.when(F.col("o_orderkey") % 10 != 3, F.col("t")))
+
+
+@query("w6_split_null_times", f"""{NULL_TIMES_SQL}
+SELECT CAST(ratio AS VARCHAR) AS ratio, o_orderkey, CASE WHEN pos < floor(n * ratio) THEN 'train' ELSE 'validate' END AS part FROM i, (VALUES (0.05), (0.8), (0.95)) r(ratio)""")
+def w6_split_null_times(spark, sf_dir):
+    """Rows without a time come last and stay in a part; the bound of the last ratio is such a row."""
+    df, parts = orders_without_times(spark, sf_dir), []
+    for ratio in (0.05, 0.8, 0.95):
+        for name, part in zip(("train", "validate"), O.ordered_split(df, ["t", "o_orderkey"], ratio)):
+            parts.append(part.select(F.lit(f"{ratio:.2f}").alias("ratio"), "o_orderkey", F.lit(name).alias("part")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+@query("w7_row_index_slices", f"""{NULL_TIMES_SQL}
+SELECT o_orderkey, pos AS row_index FROM i""")
+def w7_row_index_slices(spark, sf_dir):
+    df = orders_without_times(spark, sf_dir).select("o_orderkey", "t")
+    rows = df.count()
+    return O.row_index(df, ["t", "o_orderkey"], rows_per_slice=max(1, rows // 8)).select("o_orderkey", "row_index")
+
+
+RANKS = (0, 17, 700, 1200)
+
+
+@query("w6_positions_narrowed", f"""{NULL_TIMES_SQL}
+SELECT pos, t, o_orderkey, branch FROM i, (VALUES ('all'), ('narrowed')) b(branch) WHERE pos IN {RANKS}""")
+def w6_positions_narrowed(spark, sf_dir):
+    """The rows at given positions, from the whole order and from the rows around the positions."""
+    df, found = orders_without_times(spark, sf_dir), []
+    for branch, narrow in (("all", 10**12), ("narrowed", 0)):
+        for rank, (t, key) in zip(RANKS, O.rows_at(df, ["t", "o_orderkey"], list(RANKS), narrow_rows=narrow)):
+            found.append((rank, t, key, branch))
+    return spark.createDataFrame(found, "pos long, t long, o_orderkey long, branch string")
+
+
+@query("w8_prefix_sums_slices", f"""
+WITH o AS ({ORDERS_SQL})
+SELECT o_orderkey, {near_sql("coalesce(sum(o_totalprice) OVER (ORDER BY t, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)", 2)} AS before
+FROM o""")
+def w8_prefix_sums_slices(spark, sf_dir):
+    out = O.prefix_sums(orders(spark, sf_dir), ["t", "o_orderkey"], {"before": F.col("o_totalprice")}, 9)
+    return out.select("o_orderkey", near("before", 2).alias("before"))
+
+
+@query("a2_folds_null_times", f"""{NULL_TIMES_SQL},
+f AS (SELECT *, CASE WHEN pos < (n % 5) * (n // 5 + 1) THEN pos // (n // 5 + 1)
+             ELSE n % 5 + (pos - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold,
+             avg(label) OVER () AS g FROM i JOIN orders USING (o_orderkey)),
+s AS (SELECT o_orderpriority, fold, sum(label) AS s, count(*) AS k FROM f GROUP BY 1, 2),
+a AS (SELECT o_orderpriority, sum(s) AS s, sum(k) AS k FROM s GROUP BY 1)
+SELECT f.o_orderkey, {near_sql('CASE WHEN a.k - s.k > 0 THEN (a.s - s.s + g) / (a.k - s.k + 1.0) ELSE g END')} AS priority
+FROM f JOIN s USING (o_orderpriority, fold) JOIN a USING (o_orderpriority)""")
+def a2_folds_null_times(spark, sf_dir):
+    out, _ = E.fold_encode(orders_without_times(spark, sf_dir), ["o_orderpriority"], "label", ["t", "o_orderkey"])
+    return out.select("o_orderkey", near("o_orderpriority_encoded").alias("priority"))
+
+
+@query("a2_mixed_cardinality", f"""
+WITH o AS ({ORDERS_SQL}), g AS (SELECT avg(label) AS g FROM o),
+p AS (SELECT o_orderstatus, (sum(label) + any_value(g)) / (count(*) + 1.0) AS v FROM o, g GROUP BY 1),
+c AS (SELECT o_custkey, (sum(label) + any_value(g)) / (count(*) + 1.0) AS v FROM o, g GROUP BY 1)
+SELECT o_orderkey, {near_sql('p.v')} AS status, {near_sql('c.v')} AS customer FROM o JOIN p USING (o_orderstatus) JOIN c USING (o_custkey)""")
+def a2_mixed_cardinality(spark, sf_dir):
+    """A small broadcast limit: the column with few categories is broadcast, the other one is shuffled."""
+    df = orders(spark, sf_dir).withColumn("o_custkey", F.col("o_custkey").cast("string"))
+    encodings = E.encoding_table(df, ["o_orderstatus", "o_custkey"], "label")
+    out = E.apply_encoding(df, encodings, ["o_orderstatus", "o_custkey"], broadcast_rows=10)
+    return out.select("o_orderkey", near("o_orderstatus_encoded").alias("status"), near("o_custkey_encoded").alias("customer"))
+
+
+@query("j5_lookup_hot_key", f"""
+WITH o AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 7 WHEN o_orderkey % 3 = 1 THEN NULL ELSE o_custkey END AS k FROM orders)
+SELECT o_orderkey, coalesce(c_acctbal, -1.0) AS balance FROM o LEFT JOIN customer ON k = c_custkey""")
+def j5_lookup_hot_key(spark, sf_dir):
+    """A third of the rows has one key, a third none; the lookup is shuffled and deals both out."""
+    remainder = F.col("o_orderkey") % 3
+    df = orders(spark, sf_dir).select("o_orderkey", F.when(remainder == 0, F.lit(7).cast("long")).when(remainder == 2, F.col("o_custkey")).alias("k"))
+    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("k"), "c_acctbal")
+    out = J.lookup(df, accounts, "k", "c_acctbal", "balance", F.lit(-1.0), accounts.count(), broadcast_rows=0, hot_rows=100)
+    return out.select("o_orderkey", "balance")
+
+
 @query("w10_first_per_class", f"""
 WITH e AS ({EVENTS_SQL})
 SELECT event_id, label, row_number() OVER (PARTITION BY label ORDER BY t, event_id) AS class_rank
@@ -383,7 +489,9 @@ def o2_top_k(spark, sf_dir):
     return O.top_k(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 20, "o_orderkey")
 
 
-@query("o3_seeded_sample")
+@query("o3_seeded_sample", f"""
+WITH e AS ({EVENTS_SQL})
+SELECT event_id, t, value FROM (SELECT * FROM e ORDER BY md5(event_id || '|42'), event_id LIMIT 2000) ORDER BY t, event_id""")
 def o3_seeded_sample(spark, sf_dir):
     df = events(spark, sf_dir).select("event_id", "t", "value")
     return O.seeded_sample(df, row_id="event_id", order=["t", "event_id"])

@@ -138,12 +138,26 @@ def t8_duplicates_and_late_events(spark, sf_dir):
     path, checkpoint = scratch_path(spark, "t8"), scratch_path(spark, "t8-checkpoint")
 
     def run(stream):
-        return ST.start_features(ST.distinct_rows(stream, roles, "at"), roles, path, checkpoint)
+        return ST.start_features(ST.distinct_rows(stream, roles), roles, path, checkpoint)
 
     in_two_runs(spark, df.unionAll(df), F.col("t") < MIDDLE, run)
     return spark.read.parquet(path).select("event_id", "user_count_24hr")
 
 
+@query("t8_late_events", "SELECT event_id, CAST(1 AS BIGINT) AS rows FROM events")
+def t8_late_events(spark, sf_dir):
+    """The older half arrives second, up to a month late, and everything is sent twice: each event comes out once."""
+    df = events(spark, sf_dir).select("event_id", "t", "value", "user_id")
+    roles = ST.StreamRoles({"user": "user_id"}, "event_id", "t", "value", SECOND)
+    path, checkpoint = scratch_path(spark, "t8-late"), scratch_path(spark, "t8-late-checkpoint")
+
+    def run(stream):
+        return ST.start_features(ST.distinct_rows(stream, roles), roles, path, checkpoint)
+
+    in_two_runs(spark, df.unionAll(df), F.col("t") >= MIDDLE, run)
+    return spark.read.parquet(path).groupBy("event_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("t9_streaming_scoring", f"""
 WITH e AS ({EVENTS_SQL}), v AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {WINDOWS_US['24hr']} PRECEDING AND 1 PRECEDING) AS c
   FROM e WHERE value > 0), s AS (SELECT *, least(value / 100, 1.0) * CASE WHEN c > 2 THEN 0.9 ELSE 0.6 END AS p FROM v)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.config import BROADCAST_ROWS, HOT_ROWS, ROWS_PER_SLICE
+from ledgerlens.config import BROADCAST_ROWS, HOT_ROWS, ROWS_PER_SLICE, SALTS
 from ledgerlens.scratch import save
 
 SLICE = "_slice"
@@ -70,12 +70,33 @@ def split_hot(df: DataFrame, key: str, hot: HotKeys) -> tuple[DataFrame, DataFra
     return df.join(table, key, "left_anti"), df.join(table, key, "left_semi")
 
 
+def salted(
+    df: DataFrame, table: DataFrame, key: str, table_key: str, hot: HotKeys, salts: int = SALTS
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a left join with the column ``_spread``: rows without a key are dealt out by their content, rows of
+    hot keys over ``salts`` numbers, and the table repeats its rows of hot keys once per number."""
+    content = F.xxhash64(*df.columns)
+    zero = F.lit(0).cast("long")
+    spread = F.when(F.col(key).isNull(), content)
+    if hot:
+        marks = broadcast_if_small(hot.table.select(F.col(key).alias("_hot")), hot.keys)
+        df = df.join(marks, F.col(key) == F.col("_hot"), "left")
+        spread = spread.when(F.col("_hot").isNotNull(), F.pmod(content, F.lit(salts)))
+        table = table.join(marks, F.col(table_key) == F.col("_hot"), "left").withColumn(
+            "_spread", F.explode(F.when(F.col("_hot").isNull(), F.array(zero)).otherwise(F.sequence(zero, F.lit(salts - 1).cast("long"))))
+        ).drop("_hot")
+    else:
+        table = table.withColumn("_spread", zero)
+    df = df.withColumn("_spread", spread.otherwise(zero))
+    return (df.drop("_hot") if hot else df), table
+
+
 def null_spread(key: str, row_id: str) -> Column:
     """Second partitioning column: one group per key, but null keys spread row by row."""
     return F.when(F.col(key).isNull(), F.xxhash64(row_id)).otherwise(F.lit(0).cast("long"))
 
 
-def range_slices(df: DataFrame, order: list[str], slices: int, label: str) -> DataFrame:
+def range_slices(df: DataFrame, order: list, slices: int, label: str) -> DataFrame:
     """Range-partition on ``order`` and record the partition number in ``_slice``.
 
     The result is written: a second evaluation of a range partitioning may draw other bounds.

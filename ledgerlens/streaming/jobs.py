@@ -43,9 +43,12 @@ def streaming_session(spark: SparkSession, state_partitions: int | None = None)
     return session
 
 
-def distinct_rows(txns: DataFrame, roles: StreamRoles, event_time: str, keep: str = "7 days") -> DataFrame:
-    """Drop re-sent ids within ``keep``; the state is spread by id."""
-    return txns.withWatermark(event_time, keep).dropDuplicatesWithinWatermark([roles.row_id])
+def distinct_rows(txns: DataFrame, roles: StreamRoles, keep: str = "7 days") -> DataFrame:
+    """Drop ids that are sent again within ``keep`` of their arrival; the state is spread by id.
+
+    The watermark is on the arrival, so a row is never late, however old its event time is."""
+    arrived = txns.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", keep)
+    return arrived.dropDuplicatesWithinWatermark([roles.row_id]).drop("_arrived")
 
 
 def entity_rows(txns: DataFrame, roles: StreamRoles) -> DataFrame:
@@ -150,7 +153,7 @@ def start_scoring(
     )
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
+        batch, scored = batch.persist(), None
         try:
             ready = features(assemble(batch, columns, roles))
             day = F.floor(F.col(roles.time) / F.lit(DAY * roles.ticks)).cast("long")
@@ -167,8 +170,9 @@ def start_scoring(
             watched = [c for c in monitored if c in scored.columns and c not in (roles.row_id, roles.time)]
             write_batch(scored.select(roles.row_id, roles.time, *watched, "day"), logs.drift, epoch, ["day"])
             write_batch(batch.where("_kind = 'rejected'").select(*columns, "reason"), logs.rejected, epoch)
-            scored.unpersist()
         finally:
+            if scored is not None:
+                scored.unpersist()
             batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
