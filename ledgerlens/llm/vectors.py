@@ -149,7 +149,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS)
         .select(*block, "rep", "copies", "embedding", "codes", "chunk")
         .mapInPandas(per_partition, "rep long, n long, root long"), "vector-links")
 
-    members = known.join(classes, ["label", "print"]).select("vec_id", "rep", "copies")
+    members = known.join(classes, ["label", "print"]).select("vec_id", "rep", "copies").distinct()
     edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(members.select("vec_id", "rep"))
     others = found.groupBy("rep").agg(F.sum("n").alias("n"))
     links = members.join(others, "rep", "left").groupBy("vec_id").agg(
