@@ -109,7 +109,7 @@ def test_stage_keeps_one_of_a_group(spark):
 
 def expected_vectors(rows):
     usable = {
-        i: (l, np.array(v, float)) for i, v, l in rows
+        i: (l, np.array(v, float) / max(map(abs, v))) for i, v, l in rows
         if l is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and np.any(v)
     }
     pairs = []
