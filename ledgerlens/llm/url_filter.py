@@ -68,10 +68,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", url:
         F.bit_or(_mask(F.col("host"), F.col("path"))).alias("_bits"))
 
     host, path, rule, verdict = (own_name(pages, n) for n in ("host", "path", "rule", "verdict"))
-    judged = pages.withColumn(host, url_host(F.col(url))).withColumn(path, url_path(F.col(url)))
+    # the page travels as one struct, so none of its columns can clash
+    judged = pages.select(
+        F.struct(*pages.columns).alias("page"), url_host(F.col(url)).alias("page_host"), url_path(F.col(url)).alias("page_path"))
     # every different host and path once, however many pages it has
-    places = judged.where(F.col(host) != "").select(
-        F.col(host).alias("_host"), F.col(path).alias("_path")).distinct()
+    places = judged.where("page_host <> ''").select(
+        F.col("page_host").alias("_host"), F.col("page_path").alias("_path")).distinct()
     labels = F.split("_host", r"\.")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
@@ -87,7 +89,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, default: str = "allow", url:
     best = hits.groupBy("_host", "_path").agg(F.max(F.struct(
         (F.length("host") + F.length("path")).alias("n"), F.length("host").alias("m"),
         F.concat("host", "path").alias("rule"), F.col("verdict").alias("verdict"))).alias("_best"))
-    found = judged.join(best, (F.col(host) == F.col("_host")) & (F.col(path) == F.col("_path")), "left")
+    found = judged.join(best, (F.col("page_host") == F.col("_host")) & (F.col("page_path") == F.col("_path")), "left")
     return found.select(
-        *pages.columns, host, path, F.col("_best.rule").alias(rule),
+        "page.*", F.col("page_host").alias(host), F.col("page_path").alias(path), F.col("_best.rule").alias(rule),
         F.coalesce("_best.verdict", F.lit(default)).alias(verdict))

@@ -211,14 +211,17 @@ class WarcReader(DataSourceReader):
         if manifest.type == fs.FileType.File:
             with system.open_input_stream(manifest.path) as lines:
                 files = json.loads(lines.read())
-            return [ArchiveFile(f"{path}/{name}", size) for name, size in files]
+            # Spark wants one partition at least
+            return [ArchiveFile(f"{path}/{name}", size) for name, size in files] or [ArchiveFile(path, 0)]
         found = system.get_file_info(fs.FileSelector(path, recursive=True))
-        return [ArchiveFile(f.path, f.size) for f in found if re.search(r"\.warc(\.gz)?$", f.path)]
+        return [ArchiveFile(f.path, f.size) for f in found if re.search(r"\.warc(\.gz)?$", f.path)] or [ArchiveFile(path, 0)]
 
     def read(self, partition: ArchiveFile) -> Iterator[tuple]:
         def wanted(row: dict) -> bool:
             return all(row[column] in values for column, values in self.accepted.items())
 
+        if not partition.size:
+            return
         system, _ = _open(self.path)
         with system.open_input_file(partition.path) as file:
             yield from records(file, partition.size, wanted, self.payloads)
