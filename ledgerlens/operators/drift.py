@@ -13,10 +13,17 @@ from ledgerlens.config import (
 )
 from ledgerlens.functions.scalars import floor_clip
 from ledgerlens.operators.quantiles import few_group_quantiles
+from ledgerlens.scratch import save
 
 log = logging.getLogger(__name__)
 
 
+def _monitored(df: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """The monitored columns, written once: the plan behind ``df`` runs once, whatever reads them afterwards."""
+    found = [c for c in dict.fromkeys(columns) if c in df.columns]
+    return save(df.select(*found), name) if found else df
+
+
 def _long(df: DataFrame, features: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
     long = df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value")
@@ -79,14 +86,18 @@ def drift_status(value: Column, warning: float = PSI_WARNING, critical: float =
 
 def feature_drift(
     baseline: DataFrame, production: DataFrame, features: list[str] = MONITORED_FEATURES,
-    warning: float = PSI_WARNING, critical: float = PSI_CRITICAL, digits: int = 4, **options,
+    warning: float = PSI_WARNING, critical: float = PSI_CRITICAL, digits: int = 4, written: bool = False, **options,
 ) -> DataFrame:
-    """``(feature, psi, status)``; features absent on a side are skipped. Status precedes rounding."""
+    """``(feature, psi, status)``; features absent on a side are skipped. Status precedes rounding.
+
+    ``written`` says that both sides are cheap to read several times."""
     shared = [f for f in features if f in baseline.columns and f in production.columns]
     if skipped := [f for f in features if f not in shared]:
         log.warning("drift not measured, column absent: %s", skipped)
     if not shared:
         return baseline.sparkSession.createDataFrame([], "feature string, psi double, status string")
+    if not written:
+        baseline, production = _monitored(baseline, shared, "baseline"), _monitored(production, shared, "production")
     table = psi_table(baseline, production, shared, **options)
     return table.select(
         "feature", F.round("psi", digits).alias("psi"), drift_status(F.col("psi"), warning, critical).alias("status")
@@ -122,6 +133,8 @@ def drift_decision(
 ) -> DataFrame:
     """One row with counts per status, the drift fraction, the decision and its reason."""
     spark = baseline.sparkSession
+    wanted = [label] if drift is not None else [*features, label]
+    baseline, production = _monitored(baseline, wanted, "baseline"), _monitored(production, wanted, "production")
     production_rows = production.count()
     if production_rows < min_rows:
         return spark.range(1).select(
@@ -130,7 +143,7 @@ def drift_decision(
             F.lit(production_rows).cast("long").alias("production_rows"), F.lit(False).alias("should_retrain"),
             F.lit(f"Insufficient production data ({production_rows} < {min_rows})").alias("reason"),
         )
-    drift = feature_drift(baseline, production, features, **options) if drift is None else drift
+    drift = feature_drift(baseline, production, features, written=True, **options) if drift is None else drift
     labels = label_drift(baseline, production, label, label_threshold).first()
     share = F.coalesce(F.try_divide(F.col("critical"), F.col("total_features")), F.lit(0.0))
     summary = drift.agg(
