@@ -5,7 +5,7 @@ requests against a history. Ordinary keys use plain windows: one exchange on the
 Keys above ``hot_rows`` are cut into ordered slices of bounded size; running values come from the
 slice's own window merged with a carry from the earlier slices. Keys above ``frame_rows`` get their
 trailing windows from differences of prefix sums, also sliced, whose cost does not depend on the
-length of the window.
+length of the window. Both ways add amounts as whole numbers (``exact.py``), so their sums are equal.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import AMOUNT, FRAME_ROWS, HOT_ROWS, ID, ROWS_PER_SLICE, TIME
+from ledgerlens.operators.exact import ExactSum
 from ledgerlens.skew import (
     SLICE, HotKeys, broadcast_if_small, find_hot_keys, null_spread, range_slices, slice_count, split_hot,
 )
@@ -111,33 +112,37 @@ def running_sliced(sliced: DataFrame, spec: Keyed, carry_rows: int) -> DataFrame
     }).drop("_n0", "_mean0", "_m20", "_last0", "_first0", "_n1", "_mean1", "_m21", "_last1", "_first1")
 
 
-def trailing(df: DataFrame, spec: Keyed, windows: dict[str, int], prefix: str) -> DataFrame:
-    """Count and sum over ``[t - w, t)`` by range frames, within ``_slice``."""
+def trailing(df: DataFrame, spec: Keyed, windows: dict[str, int], prefix: str, exact: ExactSum) -> DataFrame:
+    """Count and sum over ``[t - w, t)`` by range frames, within ``_slice``. No row is in the window of a null time."""
     ordered = Window.partitionBy(spec.key, SLICE).orderBy(spec.time)
-    keyed = F.col(spec.key).isNotNull()
+    keyed, timed = F.col(spec.key).isNotNull(), F.col(spec.time).isNotNull()
+    parts = exact.parts(spec.fed(F.col(spec.amount)))
     out = {}
     for name, width in windows.items():
         frame = ordered.rangeBetween(-width * spec.ticks, -1)
         rows = F.count(spec.fed(F.lit(1))).over(frame)
-        total = F.coalesce(F.sum(spec.fed(F.col(spec.amount))).over(frame), F.lit(0.0))
-        out[f"{prefix}_count_{name}"] = F.when(keyed, rows)
-        out[f"{prefix}_amt_sum_{name}"] = F.when(keyed, total)
+        total = exact.total([F.coalesce(F.sum(part).over(frame), F.lit(0)) for part in parts])
+        out[f"{prefix}_count_{name}"] = F.when(keyed, F.when(timed, rows).otherwise(F.lit(0)))
+        out[f"{prefix}_amt_sum_{name}"] = F.when(keyed, F.when(timed, total).otherwise(F.lit(0.0)))
     return df.withColumns(out)
 
 
 def trailing_prefix(
-    df: DataFrame, spec: Keyed, windows: dict[str, int], prefix: str, hot: HotKeys, rows_per_slice: int
+    df: DataFrame, spec: Keyed, windows: dict[str, int], prefix: str, exact: ExactSum, hot: HotKeys, rows_per_slice: int
 ) -> DataFrame:
     """Count and sum over ``[t - w, t)`` for hot keys as differences of running totals.
 
     The result depends on (key, instant) only, so rows are combined to instants first. Each instant
     asks for the totals before ``t`` and before ``t - w``; questions and data are put in one order,
     cut into slices, and every slice adds its running sums to the totals of the slices before it.
+    All totals are whole numbers, so nothing is lost in a difference. Rows without a time stay out of it.
     """
     key, time = spec.key, spec.time
-    instants = df.groupBy(key, time).agg(
+    parts = {f"p{i}": part for i, part in enumerate(exact.parts(spec.fed(F.col(spec.amount))))}
+    sums = ["n", *parts]
+    instants = df.where(F.col(time).isNotNull()).groupBy(key, time).agg(
         F.count(spec.fed(F.lit(1))).alias("n"),
-        F.coalesce(F.sum(spec.fed(F.col(spec.amount))), F.lit(0.0)).alias("s"),
+        *[F.coalesce(F.sum(part), F.lit(0)).alias(c) for c, part in parts.items()],
     )
     marks = [("now", 0), *windows.items()]
     entries = F.array(*[
@@ -150,47 +155,39 @@ def trailing_prefix(
     ])
     line = instants.withColumn("e", F.explode(entries)).select(
         key, F.col(time).alias("_t"), "e.mark", "e.at", "e.data",
-        F.when(F.col("e.data"), F.col("n")).otherwise(F.lit(0)).alias("n"),
-        F.when(F.col("e.data"), F.col("s")).otherwise(F.lit(0.0)).alias("s"),
+        *[F.when(F.col("e.data"), F.col(c)).otherwise(F.lit(0)).alias(c) for c in sums],
     )
     order = [key, "at", "data", "_t"]
     slices = slice_count(line, rows_per_slice, rows=hot.rows * len(marks))
     sliced = range_slices(line, order, slices, "trailing")
-    # totals of whole slices are added as decimals: no digits are lost over a long history
     past = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         sliced.groupBy(key, SLICE)
-        .agg(F.sum("n").alias("n"), F.sum("s").cast("decimal(38,10)").alias("s"))
-        .select(
-            key, SLICE,
-            F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_n0"),
-            F.coalesce(F.sum("s").over(past), F.lit(0)).cast("decimal(38,10)").alias("_s0"),
-        )
+        .agg(*[F.sum(c).alias(c) for c in sums])
+        .select(key, SLICE, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"_{c}0") for c in sums])
     )
     before = (
         Window.partitionBy(key, SLICE).orderBy("at", "data", "_t").rowsBetween(Window.unboundedPreceding, -1)
     )
     totals = (
-        sliced.withColumn("_n1", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .withColumn("_s1", F.coalesce(F.sum("s").over(before), F.lit(0.0)))
+        sliced.withColumns({f"_{c}1": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
         .join(broadcast_if_small(offsets, slices + hot.keys), [key, SLICE])
-        .withColumn("rows_before", F.col("_n0") + F.col("_n1"))
     )
 
-    def at_mark(column: str, name: str) -> Column:
-        return F.max(F.when(F.col("mark") == name, F.col(column)))
+    def at_mark(c: str, name: str) -> Column:
+        return F.max(F.when(F.col("mark") == name, F.col(f"_{c}0") + F.col(f"_{c}1")))
 
-    picked = {name: {c: at_mark(c, name) for c in ("rows_before", "_s0", "_s1")} for name, _ in marks}
-    out = []
-    for name in windows:
-        rows = picked["now"]["rows_before"] - picked[name]["rows_before"]
-        total = (picked["now"]["_s0"] - picked[name]["_s0"]).cast("double") + (
-            picked["now"]["_s1"] - picked[name]["_s1"]
-        )
-        out.append(rows.alias(f"{prefix}_count_{name}"))
-        out.append(F.when(rows > 0, total).otherwise(F.lit(0.0)).alias(f"{prefix}_amt_sum_{name}"))
-    answers = totals.groupBy(key, F.col("_t").alias(time)).agg(*out)
-    return df.join(answers, [key, time], "left")
+    picked = totals.groupBy(key, F.col("_t").alias(time)).agg(
+        *[(at_mark(c, "now") - at_mark(c, name)).alias(f"_{c}_{name}") for name in windows for c in sums]
+    )
+    columns = [f"{prefix}_{kind}_{name}" for name in windows for kind in ("count", "amt_sum")]
+    values = [c for name in windows for c in (
+        F.col(f"_n_{name}"), exact.total([F.col(f"_{part}_{name}") for part in parts]))]
+    answers = picked.select(key, time, *[v.alias(c) for c, v in zip(columns, values)])
+    timed = df.where(F.col(time).isNotNull()).join(answers, [key, time], "left")
+    zeros = [F.lit(0).cast("long"), F.lit(0.0)] * len(windows)
+    untimed = df.where(F.col(time).isNull()).select(*df.columns, *[z.alias(c) for c, z in zip(columns, zeros)])
+    return timed.select(*df.columns, *columns).unionByName(untimed)
 
 
 def running_for_busy_keys(
@@ -226,13 +223,14 @@ def keyed_features(
     prefix = prefix or spec.key
     if profile is None:
         profile = find_hot_keys(df, spec.key, busy_limit(bool(windows), with_running, frame_rows, hot_rows))
+    exact = ExactSum.of(df, F.col(spec.amount)) if windows else None
     cold, busy = split_hot(df, spec.key, profile) if profile else (df, None)
     cold = cold.select(*df.columns, null_spread(spec.key, spec.row_id).alias(SLICE))
     # row frames first, range frames second: one exchange and one sort serve both
     if with_running:
         cold = finish(running(cold, spec)).drop(*RUNNING)
     if windows:
-        cold = trailing(cold, spec, windows, prefix)
+        cold = trailing(cold, spec, windows, prefix, exact)
     cold = cold.drop(SLICE)
     if busy is None:
         return cold
@@ -240,7 +238,7 @@ def keyed_features(
     if with_running:
         busy = running_for_busy_keys(busy, spec, finish, profile.above(hot_rows), rows_per_slice)
     if windows:
-        busy = trailing_prefix(busy, spec, windows, prefix, profile, rows_per_slice)
+        busy = trailing_prefix(busy, spec, windows, prefix, exact, profile, rows_per_slice)
     return cold.unionByName(busy.select(*cold.columns))
 
 

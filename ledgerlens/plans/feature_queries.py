@@ -63,6 +63,48 @@ def w1_velocity_hot_keys(spark, sf_dir):
     return velocity_out(df, "event_type", "event_id")
 
 
+# a seventh of the events has no time; users differ in the size of their amounts, and some amounts are huge
+EXTREME_SQL = f"""
+WITH e AS (
+  SELECT event_id, event_type, CASE WHEN event_id % 7 <> 0 THEN t END AS t,
+         CASE WHEN event_type IN ('view', 'click') THEN value * 1e-12 WHEN event_id % 50 = 3 THEN 1e30 ELSE value END AS x
+  FROM ({EVENTS_SQL})),
+w AS (
+  SELECT event_id, t IS NULL AS untimed, {", ".join(
+    f"count(*) OVER (PARTITION BY event_type, t IS NULL ORDER BY t RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING) AS n_{n}, "
+    f"sum(x) OVER (PARTITION BY event_type, t IS NULL ORDER BY t RANGE BETWEEN {w} PRECEDING AND 1 PRECEDING) AS s_{n}"
+    for n, w in WINDOWS_US.items())}
+  FROM e)
+SELECT branch, event_id, {", ".join(
+    f"CASE WHEN untimed THEN 0 ELSE n_{n} END AS event_type_count_{n}, CASE WHEN untimed OR n_{n} = 0 THEN 0.0 "
+    f"WHEN s_{n} >= 1e20 THEN {near_sql(f's_{n} / 1e24', 3)} WHEN s_{n} < 1e-3 THEN {near_sql(f's_{n} * 1e12', 3)} "
+    f"ELSE {near_sql(f's_{n}')} END AS event_type_amt_sum_{n}" for n in WINDOWS_US)}
+FROM w, (VALUES ('frame'), ('prefix')) b(branch)"""
+
+
+@query("w1_switch_extremes", EXTREME_SQL)
+def w1_switch_extremes(spark, sf_dir):
+    """Range frames and prefix sums over the same rows; sums are shown in units of their size."""
+    kind = F.col("event_type").isin("view", "click")
+    df = events(spark, sf_dir).select(
+        "event_id", "event_type", F.when(F.col("event_id") % 7 != 0, F.col("t")).alias("t"),
+        F.when(kind, F.col("value") * F.lit(1e-12)).when(F.col("event_id") % 50 == 3, F.lit(1e30)).otherwise(F.col("value")).alias("value"),
+    )
+
+    def shown(c: str):
+        s = F.col(c)
+        return F.when(s >= 1e20, near(s / 1e24, 3)).when(s < 1e-3, near(s * 1e12, 3)).otherwise(near(s)).alias(c)
+
+    branches = {"frame": {"frame_rows": 1 << 40}, "prefix": {"frame_rows": 1, "rows_per_slice": 20_000}}
+    frame, prefix = (
+        velocity(df, TYPE, **tuning).select(
+            F.lit(branch).alias("branch"), "event_id",
+            *[c for n in WINDOWS_US for c in (f"event_type_count_{n}", shown(f"event_type_amt_sum_{n}"))])
+        for branch, tuning in branches.items()
+    )
+    return frame.unionByName(prefix)
+
+
 @query("p5_null_key_masking", velocity_sql(EVENTS_SQL, "maybe_user", "event_id", "value", masked=True))
 def p5_null_key_masking(spark, sf_dir):
     return velocity_out(velocity(events(spark, sf_dir), MAYBE_USER), "maybe_user", "event_id")

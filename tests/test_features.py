@@ -77,6 +77,26 @@ def test_amounts_may_be_missing(spark):
         assert by_id(expanding_history(df, CARD, "a", "n", **tuning), "n", "a_mean")[3] == (1, 5.0)
 
 
+def test_null_times_and_extreme_amounts_are_alike_on_both_sides(spark):
+    inf = float("inf")
+    rows = [
+        (1, 0, 1e30, 1), (2, 10, 0.1, 1), (3, 4000, 0.2, 1), (4, 4100, None, 1), (5, 5000, 1e-12, 1), (6, 9000, 5.0, 1),
+        (7, None, 3.0, 1), (8, None, 4.0, 1), (9, None, 5.0, 1), (10, 12_000, -1e300, 1), (11, 16_000, 1e-300, 1),
+        (12, 20_000, 5e-324, 1), (13, 23_700, 1.0, 1), (14, 23_701, 1.5e308, 1), (15, 30_000, 0.0, 1),
+        (16, 5, 1e30, 2), (17, 6, 1.0, 2), (18, 7, -1e30, 2), (19, 8, 1.0, 2), (20, None, 1.0, None),
+        (21, 1, inf, 3), (22, 2, 1.0, 3), (23, 3, -inf, 3), (24, 9000, 1.0, 3), (25, 9001, 2.0, 3),
+    ]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, TransactionAmt double, card1 long")
+    for tuning in TUNINGS:
+        got = {r[0]: r[1:] for r in velocity(df, CARD, windows={"w": 3_600}, **tuning).select(
+            "TransactionID", "card1_count_w", "card1_amt_sum_w").collect()}
+        assert {i: got[i] for i in range(1, 16)} == {
+            1: (0, 0.0), 2: (1, 1e30), 3: (0, 0.0), 4: (1, 0.2), 5: (2, 0.2), 6: (0, 0.0), 7: (0, 0.0), 8: (0, 0.0),
+            9: (0, 0.0), 10: (1, 5.0), 11: (0, 0.0), 12: (0, 0.0), 13: (0, 0.0), 14: (1, 1.0), 15: (0, 0.0)}
+        assert got[19] == (3, 1.0) and got[20] == (None, None)
+        assert got[22] == (1, inf) and got[25] == (1, 1.0)
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """Three hot keys, null keys, and many rows of the same instant."""
