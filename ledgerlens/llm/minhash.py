@@ -4,7 +4,8 @@ Every document's word shingles get a MinHash signature. A (coordinate, value) pa
 documents that have it. Two documents whose shingle sets have a Jaccard similarity ``s`` agree on a coordinate with
 probability ``s``, so pairs with at least ``matches`` agreements are kept and then decided on the full sets.
 
-* Equal sets first become one representative (the smallest id), so copies cost one row each.
+* Equal sets first become one node with a number of its own, so copies cost one row each, and an id that is repeated
+  with other texts has a node for each of its sets. Nodes become ids again when their links are known.
 * Lists with one document cannot produce a pair. A document with fewer than ``matches`` longer lists is out.
 * Prefix: with one global order of the lists, shortest first, two documents that agree on ``matches`` coordinates
   share a list among their first ``live - matches + 1``. Only these lists are merged.
@@ -29,7 +30,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import need, own_name
@@ -90,7 +91,8 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, two halves of a 128-bit hash of the set, and its signature (null for an empty set)."""
+    """doc_id, two hashes of the text, n_shingles, two halves of a 128-bit hash of the set, and its signature (null for
+    an empty set)."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
@@ -107,16 +109,21 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 rows = iter(_signatures(full) if full else ())
                 prints = [np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(start, at - start), pa.array([len(s) for s in sets], pa.int64()),
+                    *[c.slice(start, at - start) for c in (ids, *batch.columns[2:])], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
                     pa.array([next(rows) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ], ["doc_id", "n_shingles", "f1", "f2", "tokens"])
+                ], ["doc_id", "h1", "h2", "n_shingles", "f1", "f2", "tokens"])
 
-    return need(docs, "doc_id", "text").mapInArrow(
-        per_batch, "doc_id long, n_shingles long, f1 long, f2 long, tokens array<long>"
+    return need(docs, "doc_id", "text").select("doc_id", "text", *_text_hashes()).mapInArrow(
+        per_batch, "doc_id long, h1 long, h2 int, n_shingles long, f1 long, f2 long, tokens array<long>"
     )
 
 
+def _text_hashes(one: str = "h1", other: str = "h2") -> list[Column]:
+    """They tell the texts of one id apart."""
+    return [F.xxhash64("text").alias(one), F.hash("text").alias(other)]
+
+
 def _decide(pairs: DataFrame, texts: DataFrame, words: int, similarity: int) -> DataFrame:
     """The pairs (a, b) of ``pairs`` that reach the similarity on their full sets."""
 
@@ -199,22 +206,17 @@ def near_duplicates(
     ``docs`` needs doc_id (long) and text; its other columns are not read. Two documents are linked if
     ``100 * |A & B| >= similarity * |A | B|`` for their sets of ``words``-word shingles. One row comes out for every
     row that goes in. A null or empty text, or one without words, has no shingles and no links. A row without
-    doc_id takes no part in links: its component is null and it is kept. Rows that repeat an id are one node:
-    what any of them links counts for all. An empty table gives an empty one.
+    doc_id takes no part in links: its component is null and it is kept. Rows that repeat an id are one document:
+    what any of their texts links counts for all. An empty table gives an empty one.
     """
-    source = need(docs, "doc_id", "text")
-    sketch = save(sketches(source, words), "sketches")
-    known = sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = known.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    # the key holds the id, so a large group of copies is not one key here
-    reps = known.join(classes.withColumnRenamed("rep", "doc_id"), ["f1", "f2", "doc_id"]).select(
-        F.col("doc_id").alias("rep"), "tokens")
-    live = save(_live(reps.dropDuplicates(["rep"]), matches), "live")
-    links = _links(source, live, words, similarity, matches)
-    # copies of a set are linked to its representative
-    copies = known.join(classes, ["f1", "f2"]).where("doc_id <> rep").select(
-        F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    found = components(links.union(copies), "a", "b")
+    sketch, nodes, links = _linked_sets(docs, words, similarity, matches)
+    ids = nodes.select("node", "doc_id")
+    named = links.join(ids.toDF("a", "_a"), "a").join(ids.toDF("b", "_b"), "b").select(
+        F.col("_a").alias("a"), F.col("_b").alias("b"))
+    # copies of a set are linked to its smallest id
+    copies = _known(sketch).join(nodes.select("f1", "f2", F.col("doc_id").alias("_first")), ["f1", "f2"]).where(
+        "doc_id <> _first").select(F.col("doc_id").alias("a"), F.col("_first").alias("b"))
+    found = components(named.union(copies), "a", "b")
     out = sketch.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select(
@@ -223,25 +225,61 @@ def near_duplicates(
     )
 
 
+def _known(sketch: DataFrame) -> DataFrame:
+    return sketch.where("doc_id IS NOT NULL AND n_shingles > 0")
+
+
+def _linked_sets(docs: DataFrame, words: int, similarity: int, matches: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches, nodes, links). A node is a distinct set: its number, hash, and first (doc_id, h1, h2). Links (a, b)
+    join the node numbers of every component."""
+    source = need(docs, "doc_id", "text")
+    sketch = save(sketches(source, words), "sketches")
+    known = _known(sketch)
+    classes = known.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("at"))
+    # written once: a second evaluation may number them otherwise
+    nodes = save(classes.select(F.monotonically_increasing_id().alias("node"), "f1", "f2", "at.*"), "nodes")
+    # the key holds the id, so a large group of copies is not one key here
+    reps = known.join(nodes, ["f1", "f2", "doc_id", "h1", "h2"]).select(F.col("node").alias("rep"), "tokens")
+    live = save(_live(reps.dropDuplicates(["rep"]), matches), "live")
+    wanted = nodes.join(live.select(F.col("rep").alias("node")), "node", "left_semi")
+    texts = source.select("doc_id", "text", *_text_hashes()).join(
+        wanted.select("doc_id", "h1", "h2", F.col("node").alias("rep")), ["doc_id", "h1", "h2"])
+    # a row that is repeated as it is counts once
+    texts = texts.groupBy("doc_id", "h1", "h2", "rep").agg(F.first("text").alias("text")).select("rep", "text")
+    return sketch, nodes, _links(texts, live, words, similarity, matches)
+
+
 def without_near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id. Rows without doc_id stay; of rows that
-    repeat an id the one with the smallest text stays."""
-    decided = near_duplicates(docs, words, similarity)
-    gone = decided.where("NOT kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if not docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    """``docs`` with one document of each group of sets that links join: the one with the smallest id. Rows without
+    doc_id stay. Rows that repeat an id are judged each by its own text: different texts of an id both stay, the same
+    text, and texts without words, stay once."""
+    sketch, nodes, links = _linked_sets(docs, words, similarity, MATCHES)
+    group = F.coalesce("component_id", "node").alias("group")
+    grouped = nodes.join(components(links, "a", "b"), "node", "left").select("f1", "f2", "doc_id", "h1", "h2", group)
+    best = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("best"))
+    best = grouped.select("f1", "f2", "group").join(best, "group").drop("group")
+    at = F.struct("doc_id", "h1", "h2")
+    gone = _known(sketch).join(best, ["f1", "f2"]).where(at != F.col("best")).select("doc_id", "h1", "h2")
+    bare = sketch.where("doc_id IS NOT NULL AND n_shingles = 0").select("doc_id", "h1", "h2")
+    first = bare.groupBy("doc_id").agg(F.min(at).alias("best"))
+    gone = gone.union(bare.join(first, "doc_id").where(at != F.col("best")).select("doc_id", "h1", "h2"))
+    one, other = own_name(docs, "_h1"), own_name(docs, "_h2")
+    keys = ["doc_id", one, other]
+    left = docs.select("*", *_text_hashes(one, other)).join(gone.distinct().toDF(*keys), keys, "left_anti")
+    known = sketch.where("doc_id IS NOT NULL").groupBy("doc_id", "h1", "h2")
+    if not known.agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        order = Window.partitionBy(*keys).orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
         number = own_name(docs, "_number")
-        known = left.where("doc_id IS NOT NULL").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
-        left = known.drop(number).union(left.where("doc_id IS NULL"))
-    return left
+        once = left.where("doc_id IS NOT NULL").withColumn(number, F.row_number().over(order)).where(F.col(number) == 1)
+        left = once.drop(number).union(left.where("doc_id IS NULL").select(*once.drop(number).columns))
+    return left.select(*docs.columns)
 
 
-def _links(source: DataFrame, live: DataFrame, words: int, similarity: int, matches: int) -> DataFrame:
-    """Verified links (a, b) between representatives that join every component."""
+def _links(texts: DataFrame, live: DataFrame, words: int, similarity: int, matches: int) -> DataFrame:
+    """Verified links (a, b) between nodes that join every component. ``texts`` has rep and text, one row a live node."""
     prefix = F.slice("lists", 1, F.size("lists") - (matches - 1))
     tokens = live.select("rep", F.col("lists.token").alias("tokens"))
-    texts = save(source.toDF("rep", "text").join(live.select("rep"), "rep", "left_semi"), "texts")
+    texts = save(texts, "texts")
 
     # 1: every document against the smallest one of each of its prefix lists
     firsts = F.explode(F.array_distinct(F.transform(prefix, lambda x: x["first"])))

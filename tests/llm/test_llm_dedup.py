@@ -92,6 +92,18 @@ def test_documents_without_ids_and_repeated_ids(spark):
         (None, 3, None, True), (None, 3, None, True), (3, 3, 3, True), (3, 3, 3, True), (9, 3, 3, False), (1, 0, 1, True)], key=str)
 
 
+def test_every_text_of_a_repeated_id_counts(spark):
+    one, other, third = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    docs = spark.createDataFrame([
+        (3, one, "x"), (3, other, "x"), (5, one + " more", "x"), (9, other + " more", "x"), (3, third, "x"), (3, third, "y"),
+        (4, None, "x"), (4, "", "x"), (4, "lone words", "x"), (None, one, "x"),
+    ], "doc_id long, text string, source string")
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(3, 3, True), (5, 3, False), (9, 3, False), (4, 4, True), (None, None, True)}
+    left = [tuple(r)[:2] for r in minhash.without_near_duplicates(docs).collect()]
+    assert len(left) == 6 and {r for r in left if r[1]} == {(3, one), (3, other), (3, third), (4, "lone words"), (None, one)}
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert minhash.near_duplicates(docs).count() == 0
