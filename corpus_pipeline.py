@@ -14,7 +14,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is one of those of the table; texts without letters or far from all of them go."""
-    predicted = language_id.predict(docs, language_id.fit(docs), keep_text=True)
+    predicted = language_id.predict(docs, language_id.fit(docs), min_cosine=None, keep_text=True)
     return predicted.where(predicted["lang_pred"] != language_id.UNKNOWN).select(*docs.columns)
 
 

@@ -24,6 +24,10 @@ SAMPLE_PER_LANGUAGE = 2_000
 MAX_LANGUAGES = 1_000
 # a text whose nearest centroid has a lower cosine is of no known language
 MIN_COSINE = 0.05
+# a learned limit is this share of a low quantile of the cosines that labelled texts have with the centroids of others
+QUANTILE, MARGIN = 0.01, 0.65
+# with fewer such texts a language takes the lowest limit of the other ones
+LEAST_TEXTS = 20
 UNKNOWN = "und"
 _ROWS = 256
 _MULTIPLIERS = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -83,10 +87,22 @@ def _spherical_k_means(x: np.ndarray, k: int, rounds: int) -> np.ndarray:
     return centres
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> tuple[np.ndarray, list[str], np.ndarray]:
-    """(idf, language of every centroid, centroids) from doc_id, text and lang. Rows without lang or letters are left out.
+def _limit(x: np.ndarray, k: int, rounds: int) -> float | None:
+    """A cosine that nearly all texts of the language reach with centroids that were found without them."""
+    if len(x) < LEAST_TEXTS:
+        return None
+    halves = x[0::2], x[1::2]
+    cosines = [(b @ _spherical_k_means(a, k, rounds).T).max(axis=1) for a, b in (halves, halves[::-1])]
+    return float(np.quantile(np.concatenate(cosines), QUANTILE)) * MARGIN
+
+
+Model = tuple[np.ndarray, list[str], np.ndarray, np.ndarray]
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
+    """(idf, language of every centroid, centroids, lowest cosine of every centroid) from doc_id, text and lang. Rows without lang or letters are left out.
 
-    Document frequencies cover all rows; the centroids rest on about ``sample`` rows per language.
+    Document frequencies cover all rows; the centroids and limits rest on about ``sample`` rows per language.
     """
     known = need(docs, "doc_id", "text", "lang").where("lang IS NOT NULL")
 
@@ -110,7 +126,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = CEN
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not sizes:
-        return idf, [], np.zeros((0, FEATURES), np.float32)
+        return idf, [], np.zeros((0, FEATURES), np.float32), np.zeros(0)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample / r["n"]))])
     lottery = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)
 
@@ -118,30 +134,34 @@ def fit(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, centroids: int = CEN
         letters = _letters()
         counts = [c for c in (ngram_counts(t, letters) for t in group.sort_values("doc_id")["text"]) if c is not None]
         if not counts:
-            return pd.DataFrame({"lang": [], "centre": []})
-        centres = _spherical_k_means(_vectors(counts, idf), centroids, ROUNDS)
-        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": [c.astype(float).tolist() for c in centres]})
+            return pd.DataFrame({"lang": [], "centre": [], "least": []})
+        x = _vectors(counts, idf)
+        centres = _spherical_k_means(x, centroids, ROUNDS)
+        rows = [c.astype(float).tolist() for c in centres]
+        return pd.DataFrame({"lang": group["lang"].iloc[0], "centre": rows, "least": [_limit(x, centroids, ROUNDS)] * len(rows)})
 
-    found = known.where(lottery).groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>").collect()
+    found = known.where(lottery).groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>, least double").collect()
     found.sort(key=lambda r: (r["lang"], r["centre"]))
     centres = np.array([r["centre"] for r in found], np.float32).reshape(len(found), FEATURES)
-    return idf, [r["lang"] for r in found], centres
+    lowest = min((r["least"] for r in found if r["least"] is not None), default=MIN_COSINE)
+    limits = np.array([lowest if r["least"] is None else r["least"] for r in found])
+    return idf, [r["lang"] for r in found], centres, limits
 
 
 def predict(
-    docs: DataFrame, model: tuple[np.ndarray, list[str], np.ndarray], min_cosine: float = MIN_COSINE, keep_text: bool = False,
+    docs: DataFrame, model: Model, min_cosine: float | None = MIN_COSINE, keep_text: bool = False,
 ) -> DataFrame:
     """The columns of ``docs``, text only with ``keep_text``, and lang_pred and score: one row for every row.
 
     ``docs`` needs text. ``lang_pred`` is ``und`` with score 0 for a text that is null, empty or without letters, or whose
-    best cosine is below ``min_cosine``. Of equally near centroids the one of the first language in code-point
+    best cosine is below ``min_cosine``, or below the limit that was learned for this centroid if that is None. Of equally near centroids the one of the first language in code-point
     order wins. Columns of the names lang_pred and score are replaced.
     """
     kept = [c for c in docs.columns if c not in ("text", "lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, (idf, names, centres) = _letters(), shared.value
+        letters, (idf, names, centres, limits) = _letters(), shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
@@ -152,7 +172,7 @@ def predict(
                     cosine = _vectors([counts[i] for i in rows], idf) @ centres.T
                     best = cosine.argmax(axis=1)
                     for i, j, c in zip(rows, best, cosine.max(axis=1)):
-                        if c >= min_cosine:
+                        if c >= (limits[j] if min_cosine is None else min_cosine):
                             label[i], score[i] = names[j], min(1.0, float(c))
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns[:len(names_out)], pa.array(label, pa.string()), pa.array(score)], [*names_out, "lang_pred", "score"])

@@ -44,6 +44,20 @@ def test_sequences_hold_the_mixed_documents(steps):
     assert sorted(r["ids_crc32"] for r in steps[5]) == want
 
 
+def test_unlearned_languages_and_random_letters_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(*COLUMNS)
+    draw = np.random.default_rng(4)
+    words = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), draw.integers(3, 9))) for _ in range(100)]
+    odd = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.",
+        "Все люди рождаются свободными и равными в своём достоинстве и правах. Они наделены разумом и совестью.",
+        "人人生而自由在尊严和权利上一律平等他们赋有理性和良心", "يولد جميع الناس أحرارا متساوين في الكرامة والحقوق", " ".join(words),
+    ]
+    extra = spark.createDataFrame([(10**7 + i, t, None, "odd", len(t)) for i, t in enumerate(odd)], docs.schema)
+    left = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(extra), "").select("doc_id").collect()}
+    assert left == {r["doc_id"] for r in docs.where("lang IS NOT NULL").select("doc_id").collect()}
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
