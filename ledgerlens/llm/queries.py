@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import chat, knn, language_id, minhash, mixing, packing, quality, url_filter, vectors, warc
+from ledgerlens.llm import (
+    chat, katz, knn, language_id, minhash, mixing, packing, phrases, quality, runs, url_filter, vectors, warc,
+)
+from ledgerlens.llm.common import WORD, word_count
 from ledgerlens.plans.registry import Query, table
 from ledgerlens.scratch import scratch_path
 
@@ -231,3 +234,67 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select(
         warc.page_of("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         warc.page_of("refers_to").alias("refers_to"))
+
+
+def periodic_words(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where every tenth document (by its hash) repeats some of its words to its end."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    n = F.size("words")
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    chosen = (F.pmod(h, F.lit(10)) == 0) & (word_count("text") > 0)
+    moved = docs.where(chosen).select("doc_id", F.regexp_extract_all("text", F.lit(f"({WORD})")).alias("words"))
+    places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("words", F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")))
+    return docs.where(~F.coalesce(chosen, F.lit(False))).select("doc_id", "text").union(
+        moved.select("doc_id", F.array_join(places, " ").alias("text")))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find_runs(periodic_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.reduce(F.col("runs"), F.get("runs", F.lit(0)), lambda x, y: F.when(
+        y["length"] * x["period"] > x["length"] * y["period"], y).otherwise(x))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).select(
+        "doc_id", "n_runs", "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@query("op12_katz_score")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = F.coalesce(remainder(10) != 0, F.lit(True))
+    scored, _ = katz.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), train)
+    return scored
+
+
+@query("op13_collocations", f"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM w, (SELECT unnest(range(1, 6)) AS k) t, unnest(range(1, len(w) - k + 2)) AS u(i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 100),
+cut AS (
+  SELECT c.lang, c.phrase, c.f, n.n, u.j, l.f AS l, r.f AS r,
+    (1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM c JOIN n USING (lang), unnest(range(1, c.k)) AS u(j)
+  JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:u.j], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[u.j + 1:], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_ AS (
+  SELECT c.lang, array_to_string(c.w[i:i + m - 1], ' ') AS phrase, max(c.f) AS longer
+  FROM c, unnest(range(2, c.k)) AS s(m), unnest(range(1, c.k - m + 2)) AS u(i) GROUP BY ALL),
+ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, f DESC, b.phrase) AS rank, b.phrase, f AS a, l, r, n, score
+  FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.phrase = b.phrase WHERE longer IS NULL OR longer < f)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked WHERE rank <= 2000""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
