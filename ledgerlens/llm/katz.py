@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from ledgerlens.scratch import save, scratch_path
 # no word is empty
 BOUNDARY = ""
 # pairs that one part of the tables gets
-PART_PAIRS = 3_000_000
+PART_PAIRS = 2_000_000
 # words with more than this share of all tokens are dealt to the parts pair by pair; there are at most 1 / share of them
 HOT_SHARE = 1e-3
 # counts of counts that the line is fitted to
@@ -69,36 +70,87 @@ class Unigrams:
     unknown: float
 
 
-def _rows(docs: DataFrame, train: Column) -> DataFrame:
-    """doc_id, print, train, text: equal rows have equal prints, other texts of the same doc_id others."""
-    return docs.select(
-        F.col("doc_id").cast("long"), F.xxhash64("text", train).alias("print"), train.alias("train"), "text")
+def _packed(columns: dict[str, pa.Array | np.ndarray]) -> bytes:
+    """One row of lists as a compressed Arrow message."""
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
+    lists = [pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in arrays]
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(lists, list(columns))
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def _tokens(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(text, code, vocabulary) of all tokens of the texts of ``part``; the last code is the boundary's."""
-    words = split(part.column(3), lower=True)
-    text = np.repeat(np.arange(part.num_rows), np.diff(words.bounds))
-    at = words.bounds[1:]
-    codes = np.insert(words.codes, at, len(words.vocabulary))
-    vocabulary = pa.concat_arrays([words.vocabulary, pa.array([BOUNDARY], words.vocabulary.type)])
-    return np.insert(text, at, np.arange(part.num_rows)), codes, vocabulary
+def _unpacked(block: pa.Scalar) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(block.as_buffer()).read_all()
+    return {name: row.column(name).combine_chunks().flatten() for name in row.column_names}
 
 
-def vocabulary(rows: DataFrame) -> DataFrame:
+def sliced(docs: DataFrame, train: Column) -> DataFrame:
+    """slice, block: the documents, some megabytes of text together, as numbers into the words of the slice.
+
+    The words are in order, so the boundary is word 0. Written once: a slice's number and content are fixed from here on.
+    """
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = []
+            for part in slices(batch, 2):
+                found = split(part.column(2), lower=True)
+                order = pc.sort_indices(found.vocabulary).to_numpy()
+                rank = np.empty(len(order), np.int32)
+                rank[order] = np.arange(1, len(order) + 1)
+                ends = np.diff(found.bounds) + 1
+                blocks.append(_packed({
+                    "doc_id": part.column(0), "train": part.column(1), "tokens": ends.astype(np.int32),
+                    "codes": np.insert(rank[found.codes], found.bounds[1:], 0),
+                    "words": pa.concat_arrays([pa.array([BOUNDARY], found.vocabulary.type), found.vocabulary.take(pa.array(order))]),
+                }))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(train, F.lit(False)).alias("train"), "text")
+    return save(rows.mapInArrow(per_batch, "block binary").withColumn("slice", F.monotonically_increasing_id()), "slices")
+
+
+class Slice:
+    """A slice of documents, and its different pairs of words, each in the part of the tables that it belongs to."""
+
+    def __init__(self, block: pa.Scalar, parts: int = 1, hot: frozenset[str] = frozenset()) -> None:
+        found = _unpacked(block)
+        self.doc_id, self.words, self.codes = found["doc_id"], found["words"], found["codes"].to_numpy()
+        self.tokens, self.train = found["tokens"].to_numpy(), found["train"].to_numpy(zero_copy_only=False)
+        self.learnt = np.repeat(self.train, self.tokens)
+        self.parts, self.hot = parts, hot
+
+    def pair_up(self) -> None:
+        """The boundary before a text is that of the text before."""
+        size = len(self.words)
+        self.histories = np.concatenate([[0], self.codes[:-1]]).astype(np.int64)
+        pairs, self.at = np.unique(self.codes * np.int64(size) + self.histories, return_inverse=True)
+        self.w, self.v = pairs // size, pairs % size
+        strings = self.words.to_pylist()
+        place = np.array([zlib.crc32(s.encode()) for s in strings], np.int64)
+        hot = np.array([s in self.hot for s in strings])
+        part = (place[self.w] + np.where(hot[self.w], place[self.v] * 31 + 7, 0)) % self.parts
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
+        # the pairs of every part, by word and history
+        self.of_part = {p: order[cuts[p]:cuts[p + 1]] for p in np.flatnonzero(np.diff(cuts)).tolist()}
+
+
+def vocabulary(blocks: DataFrame) -> DataFrame:
     """word, count in training; the boundary is the empty word."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 3):
-                text, codes, words = _tokens(part)
-                trained = part.column(2).to_numpy(zero_copy_only=False)[text]
-                count = np.bincount(codes[trained], minlength=len(words))
+            for block in batch.column(0):
+                own = Slice(block)
+                count = np.bincount(own.codes[own.learnt])
                 seen = np.flatnonzero(count)
                 yield pa.RecordBatch.from_arrays(
-                    [words.take(pa.array(seen)).cast(pa.string()), pa.array(count[seen], pa.int64())], ["word", "count"])
+                    [own.words.take(pa.array(seen)).cast(pa.string()), pa.array(count[seen], pa.int64())], ["word", "count"])
 
-    return rows.mapInArrow(per_batch, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
+    return blocks.select("block").mapInArrow(per_batch, "word string, count long").groupBy("word").agg(F.sum("count").alias("count"))
 
 
 def unigrams(words: DataFrame) -> Unigrams:
@@ -110,128 +162,117 @@ def unigrams(words: DataFrame) -> Unigrams:
     return Unigrams(tokens, distinct, slope, left / tokens)
 
 
-def _packed(columns: dict[str, pa.Array]) -> bytes:
-    """One row of lists as a compressed Arrow message."""
-    lists = [pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in columns.values()]
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays(lists, list(columns))
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _blocks(rows: DataFrame, parts: int, hot: set[str]) -> DataFrame:
-    """part, block: the pairs of a slice of texts that belong to a part of the tables, each pair once a text."""
+def _asked(blocks: DataFrame, parts: int, hot: frozenset[str]) -> DataFrame:
+    """part, slice, block: the different pairs of a slice that belong to a part of the tables, and their counts in training."""
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, 3):
-                text, codes, words = _tokens(piece)
-                size, about = len(words), piece.select([0, 1, 2])
-                earlier = np.concatenate([[size - 1], codes[:-1]])  # the boundary before a text is that of the text before
-                pairs, times = np.unique((text * size + codes) * size + earlier, return_counts=True)
-                earlier, pairs = pairs % size, pairs // size
-                text, codes = pairs // size, pairs % size
-                strings = words.to_pylist()
-                place = np.array([zlib.crc32(w.encode()) for w in strings], np.int64)
-                is_hot = np.array([w in hot for w in strings])
-                part = (place[codes] + np.where(is_hot[codes], place[earlier] * 31 + 7, 0)) % parts
-                order = np.lexsort((earlier, codes, part))
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                numbers, blocks = [], []
-                for p in np.flatnonzero(np.diff(cuts)):
-                    own = order[cuts[p]:cuts[p + 1]]
-                    w, w_at = np.unique(codes[own], return_inverse=True)
-                    v, v_at = np.unique(earlier[own], return_inverse=True)
-                    d, d_at = np.unique(text[own], return_inverse=True)
-                    docs = about.take(pa.array(d))
-                    numbers.append(p)
-                    blocks.append(_packed({
-                        "words": words.take(pa.array(w)), "w": pa.array(w_at, pa.int32()),
-                        "histories": words.take(pa.array(v)), "v": pa.array(v_at, pa.int32()),
-                        "n": pa.array(times[own], pa.int32()), "d": pa.array(d_at, pa.int32()),
-                        "doc_id": docs.column(0), "print": docs.column(1), "train": docs.column(2)}))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
-
-    return rows.mapInArrow(per_batch, "part int, block binary")
-
-
-TABLES = ("kind string, word string, count long, histories array<string>, counts array<long>, doc_id long, print long, "
-          "train boolean, ends long, tokens long, known long, base double, fixed double, bend double")
-
-
-def _part(group: pa.Table, about: Unigrams, hot: dict[str, int]) -> pa.Table:
-    """What a part of the tables says: rows of its words, sums of the documents, and pairs to back off from."""
-    read = [pa.ipc.open_stream(b.as_buffer()).read_all() for b in group.column("block").combine_chunks()]
-    columns: dict[str, list] = {name: [t.column(name).combine_chunks().flatten() for t in read] for name in read[0].column_names}
-
-    def joined(places: str, names: str) -> tuple[np.ndarray, pa.Array]:
-        """Places in the strings of all blocks together."""
-        coded = pa.concat_arrays(columns[names]).dictionary_encode()
-        starts = np.cumsum([0] + [len(c) for c in columns[names]])
-        own = np.concatenate([c.to_numpy() + s for c, s in zip(columns[places], starts)])
-        return coded.indices.to_numpy()[own], coded.dictionary
-
-    w, words = joined("w", "words")
-    v, histories = joined("v", "histories")
-    n = np.concatenate([c.to_numpy() for c in columns["n"]]).astype(np.int64)
-    starts = np.cumsum([0] + [len(c) for c in columns["doc_id"]])
-    d = np.concatenate([c.to_numpy() + s for c, s in zip(columns["d"], starts)])
-    doc_id, doc_print = pa.concat_arrays(columns["doc_id"]), pa.concat_arrays(columns["print"])
-    train = pa.concat_arrays(columns["train"])
-
-    learnt = np.where(train.to_numpy(zero_copy_only=False)[d], n, 0)
-    strings = words.to_pylist()
-    count = np.bincount(w, learnt, len(words)).astype(np.int64)
-    for i, word in enumerate(strings):
+            for number, block in zip(batch.column(0), batch.column(1)):
+                own = Slice(block, parts, hot)
+                own.pair_up()
+                n = np.bincount(own.at[own.learnt], minlength=len(own.w)).astype(np.int32)
+                asked = []
+                for pairs in own.of_part.values():
+                    w, w_at = np.unique(own.w[pairs], return_inverse=True)
+                    v, v_at = np.unique(own.v[pairs], return_inverse=True)
+                    asked.append(_packed({
+                        "words": own.words.take(pa.array(w)), "w": w_at.astype(np.int32),
+                        "histories": own.words.take(pa.array(v)), "v": v_at.astype(np.int32), "n": n[pairs]}))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(own.of_part), pa.int32()), pa.array([number.as_py()] * len(asked), pa.int64()), pa.array(asked, pa.binary())],
+                    ["part", "slice", "block"])
+
+    return blocks.select("slice", "block").mapInArrow(per_batch, "part int, slice long, block binary")
+
+
+TABLES = pa.schema([
+    ("kind", pa.string()), ("word", pa.string()), ("count", pa.int64()), ("histories", pa.list_(pa.string())),
+    ("counts", pa.list_(pa.int64())), ("part", pa.int32()), ("slice", pa.int64()), ("block", pa.binary())])
+TABLES_DDL = "kind string, word string, count long, histories array<string>, counts array<long>, part int, slice long, block binary"
+
+
+def _rows(kind: str, size: int, given: dict[str, pa.Array]) -> pa.Table:
+    given = given | {"kind": pa.array([kind] * size, pa.string())}
+    return pa.table({f.name: given[f.name].cast(f.type) if f.name in given else pa.nulls(size, f.type) for f in TABLES})
+
+
+def _part(group: pa.Table, hot: dict[str, int]) -> pa.Table:
+    """A part of the tables: a row for each of its words, and for each slice the counts that it asked for."""
+    asked = [_unpacked(b) for b in group.column("block").combine_chunks()]
+
+    def joined(places: str, names: str) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
+        """Places in the strings of all blocks together: of a block's strings, of its pairs' strings, and the strings."""
+        coded = pa.concat_arrays([a[names] for a in asked]).dictionary_encode()
+        starts = np.cumsum([0] + [len(a[names]) for a in asked])
+        codes = coded.indices.to_numpy()
+        own = [codes[s:e] for s, e in zip(starts, starts[1:])]
+        return own, [c[a[places].to_numpy()] for c, a in zip(own, asked)], coded.dictionary
+
+    asked_words, w, words = joined("w", "words")
+    _, v, histories = joined("v", "histories")
+    n = np.concatenate([a["n"].to_numpy() for a in asked])
+    count = np.bincount(np.concatenate(w), n, len(words)).astype(np.int64)
+    for i, word in enumerate(words.to_pylist()):
         if word in hot:
             count[i] = hot[word]
-    pair, at = np.unique(w.astype(np.int64) * len(histories) + v, return_inverse=True)
-    both = np.bincount(at, learnt, len(pair)).astype(np.int64)
-
-    c, c2 = count[w], both[at]
-    known, seen = c > 0, c2 > 0
-    with np.errstate(divide="ignore", invalid="ignore"):
-        single = np.where(known, np.log10(discounted(np.maximum(c, 1), about.slope) / max(about.tokens, 1)), math.log10(about.unknown))
-        fixed = np.where(seen, np.log10(np.maximum(c2, 1)), single) - np.log10(np.maximum(c, 1))
-        bend = np.where(seen, np.log10(1 + 1 / np.maximum(c2, 1)), 0.0)
-    base = np.log10((c + 0.1) / (about.tokens + 0.1 * (about.distinct + 1)))
-    docs = len(doc_id)
-    ends = n * np.array([word == BOUNDARY for word in strings])[w]
-    sums = {
-        "train": train, "ends": np.bincount(d, ends, docs).astype(np.int64),
-        "tokens": np.bincount(d, n, docs).astype(np.int64), "known": np.bincount(d, n * known, docs).astype(np.int64),
-        "base": np.bincount(d, n * base, docs), "fixed": np.bincount(d, n * fixed, docs), "bend": np.bincount(d, n * bend, docs),
-    }
+    edges = np.cumsum([0] + [len(x) for x in w])
+    pairs, at = np.unique(np.concatenate(w).astype(np.int64) * len(histories) + np.concatenate(v), return_inverse=True)
+    both = np.bincount(at, n, len(pairs)).astype(np.int64)
+    answers = [_packed({"words": count[x], "pairs": both[at[s:e]]}) for x, s, e in zip(asked_words, edges, edges[1:])]
 
     kept = np.flatnonzero(both)
-    owner = (pair // len(histories))[kept]
-    used, first = np.unique(owner, return_index=True)
-    edges = pa.array(np.append(first, len(kept)), pa.int32())
-    grams = {
-        "word": words.take(pa.array(used)), "count": pa.array(count[used]),
-        "histories": pa.ListArray.from_arrays(edges, histories.take(pa.array((pair % len(histories))[kept])).cast(pa.string())),
-        "counts": pa.ListArray.from_arrays(edges, pa.array(both[kept])),
-    }
-    off = np.flatnonzero(~seen)
-    missed, at = np.unique(d[off].astype(np.int64) * len(histories) + v[off], return_inverse=True)
-    backed = {
-        "word": histories.take(pa.array(missed % len(histories))), "doc_id": doc_id.take(pa.array(missed // len(histories))),
-        "print": doc_print.take(pa.array(missed // len(histories))), "tokens": pa.array(np.bincount(at, n[off], len(missed)).astype(np.int64)),
-    }
-    schema = pa.schema([
-        ("kind", pa.string()), ("word", pa.string()), ("count", pa.int64()), ("histories", pa.list_(pa.string())),
-        ("counts", pa.list_(pa.int64())), ("doc_id", pa.int64()), ("print", pa.int64()), ("train", pa.bool_()),
-        ("ends", pa.int64()), ("tokens", pa.int64()),
-        ("known", pa.int64()), ("base", pa.float64()), ("fixed", pa.float64()), ("bend", pa.float64())])
-
-    def rows(kind: str, size: int, given: dict) -> pa.Table:
-        given = given | {"kind": pa.array([kind] * size, pa.string())}
-        return pa.table({f.name: pa.array(given[f.name]).cast(f.type) if f.name in given else pa.nulls(size, f.type) for f in schema})
-
+    owners, first = np.unique((pairs // len(histories))[kept], return_index=True)
+    ends = pa.array(np.append(first, len(kept)), pa.int32())
+    before = histories.take(pa.array((pairs % len(histories))[kept])).cast(pa.string())
     return pa.concat_tables([
-        rows("gram", len(used), grams), rows("doc", docs, {"doc_id": doc_id, "print": doc_print, **sums}),
-        rows("back", len(missed), backed)])
+        _rows("gram", len(owners), {
+            "word": words.take(pa.array(owners)), "count": pa.array(count[owners]),
+            "histories": pa.ListArray.from_arrays(ends, before), "counts": pa.ListArray.from_arrays(ends, pa.array(both[kept]))}),
+        _rows("answer", len(asked), {
+            "part": group.column("part").combine_chunks(), "slice": group.column("slice").combine_chunks(), "block": pa.array(answers, pa.binary())}),
+    ])
+
+
+def _held_out(blocks: DataFrame) -> DataFrame:
+    """slice, word: the histories of the documents that the model does not learn from."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, block in zip(batch.column(0), batch.column(1)):
+                own = Slice(block)
+                used = np.unique(own.codes[~own.learnt])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number.as_py()] * len(used), pa.int64()), own.words.take(pa.array(used)).cast(pa.string())], ["slice", "word"])
+
+    return blocks.select("slice", "block").mapInArrow(per_batch, "slice long, word string")
+
+
+def _scores(own: Slice, answers: pa.Table, about: Unigrams, slope: float) -> pa.Table:
+    """A row for every document of the slice, from the counts and weights that answer it."""
+    own.pair_up()
+    count, both = np.zeros(len(own.words), np.int64), np.zeros(len(own.w), np.int64)
+    weight = np.ones(len(own.words))
+    told = answers.filter(pc.is_valid(answers.column("part")))
+    for part, block in zip(told.column("part").to_pylist(), told.column("block").combine_chunks()):
+        found, pairs = _unpacked(block), own.of_part[part]
+        both[pairs] = found["pairs"].to_numpy()
+        count[np.unique(own.w[pairs])] = found["words"].to_numpy()
+    weights = answers.filter(pc.is_valid(answers.column("word")))
+    weight[pc.index_in(weights.column("word").combine_chunks(), own.words.cast(pa.string())).to_numpy()] = weights.column("weight").to_numpy()
+
+    known = count > 0
+    single = np.where(known, discounted(np.maximum(count, 1), about.slope) / max(about.tokens, 1), about.unknown)
+    seen, least = both > 0, np.maximum(both, 1)
+    pair = np.where(seen, discounted(least, slope) / np.maximum(count[own.v], 1), weight[own.v] * single[own.w])
+    base = np.log10((count + 0.1) / (about.tokens + 0.1 * (about.distinct + 1)))
+    starts = np.cumsum(own.tokens) - own.tokens
+
+    def per_doc(tokens: np.ndarray) -> pa.Array:
+        return pa.array(np.add.reduceat(tokens, starts) if len(starts) else tokens)
+
+    return pa.table({
+        "doc_id": own.doc_id, "held_out": pa.array(~own.train), "n_tokens": pa.array(own.tokens, pa.int64()),
+        "n_known": per_doc(known[own.codes].astype(np.int64)), "base_score": per_doc(base[own.codes]), "score": per_doc(np.log10(pair)[own.at])})
 
 
 def histories(grams: DataFrame, about: Unigrams, slope: float) -> DataFrame:
@@ -267,32 +308,27 @@ def score_corpus(docs: DataFrame, train: Column) -> tuple[DataFrame, Model]:
     text, however often it occurs. A token whose pair training lacks backs off through its history's row.
     """
     spark = docs.sparkSession
-    rows = _rows(docs, F.coalesce(train, F.lit(False)))
-    words = save(vocabulary(rows), "vocabulary")
+    blocks = sliced(docs, train)
+    words = save(vocabulary(blocks), "vocabulary")
     about = unigrams(words)
     hot = {r["word"]: r["count"] for r in words.where(F.col("count") > HOT_SHARE * about.tokens).collect()}
     parts = max(1, math.ceil(about.tokens / PART_PAIRS))
     path = scratch_path(spark, "katz")
-    blocks = _blocks(rows, parts, set(hot))
-    blocks.groupBy("part").applyInArrow(lambda group: _part(group, about, hot), TABLES).write.partitionBy("kind").parquet(path)
-    tables = spark.read.schema(TABLES).parquet(path)
+    asked = _asked(blocks, parts, frozenset(hot))
+    asked.groupBy("part").applyInArrow(lambda group: _part(group, hot), TABLES_DDL).write.partitionBy("kind").parquet(path)
+    tables = spark.read.schema(TABLES_DDL).parquet(path)
     grams = tables.where("kind = 'gram'").select("word", "count", "histories", "counts")
-    pairs = grams.select(F.explode("counts").alias("count"))
-    slope = fitted_slope(counts_of_counts(pairs, F.col("count")))
+    slope = fitted_slope(counts_of_counts(grams.select(F.explode("counts").alias("count")), F.col("count")))
     model = Model(grams, save(histories(grams, about, slope), "histories"), about, slope)
 
-    key, none = ["doc_id", "print"], F.lit(0).cast("long")
-    back = tables.where("kind = 'back'").join(model.histories.withColumnRenamed("history", "word"), "word").select(
-        *key, F.lit(False).alias("train"), none.alias("ends"), none.alias("tokens"), none.alias("known"), F.lit(0.0).alias("base"),
-        (tables["tokens"] * (F.log10("weight") + F.log10("total"))).alias("score"))
-    sums = tables.where("kind = 'doc'").select(
-        *key, "train", "ends", "tokens", "known", "base", (F.col("fixed") + (slope + 1) * F.col("bend")).alias("score"))
-    total = sums.union(back).groupBy(*key).agg(
-        F.max("train").alias("train"), *[F.sum(c).alias(c) for c in ("ends", "tokens", "known", "base", "score")])
-    # equal rows share their sums; each has one end
-    each = total.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "ends")))
-    return each.select(
-        "doc_id", (~F.col("train")).alias("held_out"), F.expr("tokens div ends").alias("n_tokens"),
-        F.expr("known div ends").alias("n_known"), F.lit(about.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("ends")).alias("base_score"), (F.col("score") / F.col("ends")).alias("score"),
-    ), model
+    weights = _held_out(blocks).join(model.histories.select(F.col("history").alias("word"), "weight"), "word")
+    answers = tables.where("kind = 'answer'").select("slice", "part", "block").unionByName(weights, allowMissingColumns=True)
+
+    def per_slice(own: pa.Table, answers: pa.Table) -> pa.Table:
+        block = own.column("block").combine_chunks()[0]
+        return _scores(Slice(block, parts, frozenset(hot)), answers, about, slope)
+
+    scored = blocks.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(
+        per_slice, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(about.tokens).cast("long").alias("train_tokens"), "base_score", "score"), model

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 # bytes of text that are split at a time; a longer text is a slice of its own
-SLICE_BYTES = 16 * 2**20
+SLICE_BYTES = 8 * 2**20
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -30,13 +30,13 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` whose texts have together at most ``limit`` bytes, or that are one row."""
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` whose texts have together at most ``SLICE_BYTES``, or that are one row."""
     texts = batch.column(column)
     sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], np.int64)
     start, filled = 0, 0
     for i, size in enumerate(sizes):
-        if filled and filled + size > limit:
+        if filled and filled + size > SLICE_BYTES:
             yield batch.slice(start, i - start)
             start, filled = i, 0
         filled += size
@@ -66,10 +66,11 @@ def split(texts: pa.Array, spaces: bytes = SPACES, breaks: bytes = b"", lower: b
     kept = data[inside]
     if lower:
         kept = np.frombuffer(LOWER, np.uint8)[kept]
-    before = np.cumsum(inside)
-    offsets = np.append(before[at] - 1, len(kept)) if len(at) else np.zeros(1, np.int64)
-    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(kept))
+    offsets = np.zeros(len(at) + 1, np.int64)
+    if len(at):
+        offsets[1:] = np.cumsum(np.add.reduceat(inside, at, dtype=np.int64))
+    words = pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(kept))
     coded = words.dictionary_encode()
     return Words(
         coded.indices.to_numpy().astype(np.int64), np.searchsorted(at, ends), coded.dictionary,
-        np.cumsum(kinds == 2)[at] if breaks else np.zeros(len(at), np.int64))
+        np.cumsum(kinds == 2, dtype=np.int32)[at] if breaks else np.zeros(len(at), np.int64))
