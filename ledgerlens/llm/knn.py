@@ -13,14 +13,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import need
 from ledgerlens.scratch import save
 
-# at most this many pivots go to the driver and to every task
-PIVOTS = 64
+# at most this many pivots go to the driver and to every task, and so many vector lengths get pivots of their own
+PIVOTS, LENGTHS = 64, 64
+# whole numbers up to this are exact doubles, and so are all sums of products if the squared norms stay below it
+EXACT = 2.0**53
 # queries that one group holds, data vectors that one block of a group holds, and queries scored at a time
 GROUP_QUERIES, BLOCK_ROWS, SLAB_QUERIES = 2_048, 16_384, 128
 
@@ -66,13 +68,19 @@ def _bounds(pivots: np.ndarray, radius: dict[int, float], nearest: dict[int, lis
     return out
 
 
-def _local(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k best of a block for every query of the group; ties go to the smaller id."""
+def _numbers(vectors: pd.Series, exact: bool) -> np.ndarray:
+    x = np.array(vectors.tolist(), np.float64)
+    return x if exact else np.vectorize(int, otypes=[object])(x)
+
+
+def _local(queries: pd.DataFrame, data: pd.DataFrame, k: int, exact: bool) -> pd.DataFrame:
+    """The k best of a block for every query of the group; ties go to the smaller id. Without ``exact`` doubles, with
+    Python's whole numbers."""
     if queries.empty or data.empty:
         return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
     data = data.sort_values("id")
-    ids, x = data["id"].to_numpy(), np.array(data["v"].tolist(), np.float64)
-    asked, q = queries["id"].to_numpy(), np.array(queries["v"].tolist(), np.float64)
+    ids, x = data["id"].to_numpy(), _numbers(data["v"], exact)
+    asked, q = queries["id"].to_numpy(), _numbers(queries["v"], exact)
     out = []
     for at in range(0, len(q), SLAB_QUERIES):
         scores = q[at:at + SLAB_QUERIES] @ x.T
@@ -89,20 +97,22 @@ def _local(queries: pd.DataFrame, data: pd.DataFrame, k: int) -> pd.DataFrame:
 def nearest_by_product(vectors: DataFrame, k: int, scale: int, query: F.Column) -> DataFrame:
     """query_id, rank, vec_id, score: each query's ``k`` largest inner products of quantised vectors.
 
-    Rows of ``vectors`` (vec_id long, embedding) for which ``query`` holds ask; all rows but those with the query's
-    own id answer. Ties go to the smaller vec_id; a query gets all there are if there are fewer. Null vectors, those
-    with null or non-finite components, and rows without vec_id take no part; vectors of another length than the
-    query's do not answer it. A repeated vec_id is one vector: its smallest. An empty table gives an empty one. Scores are
-    exact while they stay below 2^53.
+    Rows of ``vectors`` (vec_id long, embedding) for which ``query`` holds ask; all rows with other ids answer. Ties go to
+    the smaller vec_id; a query gets all there are if there are fewer. Null vectors, those with null or non-finite
+    components, and rows without vec_id take no part; vectors of another length than the query's do not answer it.
+    Rows with equal vec_id and (quantised) vector are one; rows that repeat a vec_id with other vectors all answer, and all
+    ask: such a query has the best answers to any of its vectors. An empty table gives an empty one. Scores are exact: with squared norms from 2^53 on they are
+    computed with whole numbers of any size, and a score beyond 64 bits, or a norm beyond doubles, is an error.
     """
     rows = need(vectors, "vec_id", "embedding").select(
-        F.col("vec_id").cast("long").alias("id"), quantised("embedding", scale).alias("v"), query.alias("q"),
+        F.col("vec_id").cast("long").alias("id"), quantised("embedding", scale).alias("v"), F.coalesce(query, F.lit(False)).alias("q"),
     ).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
-    rows = save(rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "quantised")
-    lengths = [r[0] for r in rows.select(F.size("v")).distinct().limit(PIVOTS + 1).collect()]
-    if len(lengths) > PIVOTS:
-        raise ValueError(f"more than {PIVOTS} different vector lengths")
-    parts = [_one_length(rows.where(F.size("v") == n), k) for n in lengths]
+    rows = save(rows.groupBy("id", "v").agg(F.max("q").alias("q")), "quantised")
+    by_length = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n")
+    usual = [r["n"] for r in by_length.limit(LENGTHS + 1).collect()]
+    parts = [_one_length(rows.where(F.size("v") == n), k) for n in usual[:LENGTHS]]
+    if len(usual) > LENGTHS:
+        parts.append(_rare_lengths(rows.where(~F.size("v").isin(usual[:LENGTHS])), by_length, k))
     if not parts:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0)
     found = parts[0]
@@ -113,13 +123,39 @@ def nearest_by_product(vectors: DataFrame, k: int, scale: int, query: F.Column)
         "query_id", "rank", "vec_id", "score")
 
 
+def _top(rows: DataFrame) -> float:
+    """The largest squared norm."""
+    top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()[0] or 0.0
+    if not math.isfinite(top):
+        raise ValueError("a vector's norm is beyond the range of doubles")
+    return top
+
+
+def _spread(blocks: Column) -> Column:
+    """A block for every row; equal rows spread, too."""
+    return F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), blocks).cast("int")
+
+
+def _rare_lengths(rows: DataFrame, by_length: DataFrame, k: int) -> DataFrame:
+    """Answers among the vectors of each length that few have: queries meet all blocks of their length."""
+    exact = _top(rows) < EXACT
+    sized = rows.withColumn("n", F.size("v")).join(by_length, "n").withColumn("blocks", F.ceil(F.col("rows") / BLOCK_ROWS).cast("long"))
+    data = sized.select("n", "id", "v", _spread(F.col("blocks")).alias("s"))
+    asked = save(sized.where("q").withColumn("g", _spread(F.ceil(F.col("rows") / GROUP_QUERIES).cast("long"))).select(
+        "n", "g", "id", "v", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)).alias("s")), "rare-queries")
+    data = save(data.join(asked.select("n", "g").distinct(), "n"), "rare-data")
+    return asked.groupBy("n", "g", "s").cogroup(data.groupBy("n", "g", "s")).applyInPandas(
+        lambda q, x: _local(q, x, k, exact), "query_id long, vec_id long, score long")
+
+
 def _one_length(rows: DataFrame, k: int) -> DataFrame:
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    n, asking, top = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(square)).first()
+    n, top = rows.count(), _top(rows)
+    # components of a norm below 2^31 fit short integers, which halves the shuffle
+    exact, number = top < EXACT, "int" if top < 2.0**62 else "double"
     count = max(1, min(PIVOTS, math.isqrt(n) // 4))
-    # the rows with the smallest hashes of their ids: a sample that reruns agree on
-    chosen = [r[0] for r in rows.orderBy(F.xxhash64("id"), "id").limit(count).select("v").collect()]
-    p = np.array(chosen, np.float64)
+    # any sample will do: answers do not depend on the pivots
+    chosen = rows.orderBy(F.xxhash64("id", F.monotonically_increasing_id())).limit(count).select("v").collect()
+    p = np.unique(np.array([r[0] for r in chosen], np.float64), axis=0)
     pivots = np.concatenate([p, np.sqrt(np.maximum(top - (p * p).sum(axis=1), 0))[:, None]], axis=1)
     data = save(_cells(rows.select("id", "v"), pivots, top, False), "cells")
     queries = save(_cells(rows.where("q").select("id", "v"), pivots, top, True), "query-cells")
@@ -169,14 +205,14 @@ def _one_length(rows: DataFrame, k: int) -> DataFrame:
                     yield pd.DataFrame({"g": g, "id": batch["id"][wanted], "v": batch["v"][wanted]})
 
     blocks = max(1, math.ceil(n / BLOCK_ROWS))
-    # integers of the shuffle: short arrays instead of doubles
-    data = data.mapInPandas(spread, "g int, id long, v array<int>").withColumn("s", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    data = data.mapInPandas(spread, f"g int, id long, v array<{number}>")
+    data = data.withColumn("s", _spread(F.lit(blocks)))
     table = F.create_map(*[F.lit(x) for i, gs in groups.items() for x in (i, gs)]) if groups else None
     if table is None:
         return rows.select(F.col("id").alias("query_id"), F.col("id").alias("vec_id"), F.col("id").alias("score")).limit(0)
     options = table[F.col("cell")]
-    asked = queries.select(
-        F.element_at(options, F.pmod(F.xxhash64("id"), F.size(options)).cast("int") + 1).alias("g"), "id", "v",
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("s"))
+    # a query has one group, chosen before it is copied to the blocks
+    asked = queries.withColumn("g", F.element_at(options, _spread(F.size(options)) + 1)).select(
+        "g", "id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("s"))
     return asked.groupBy("g", "s").cogroup(data.groupBy("g", "s")).applyInPandas(
-        lambda q, x: _local(q, x, k), "query_id long, vec_id long, score long")
+        lambda q, x: _local(q, x, k, exact), "query_id long, vec_id long, score long")

@@ -116,9 +116,25 @@ def mix(
     ).alias(own))
 
 
+def training_order(mixed: DataFrame, own: str = "mix") -> DataFrame:
+    """Rows of :func:`mix` with ``orders``: the numbers, from 0, of a row's copies in training order.
+
+    All copies are sorted by position, then doc_id (null last), in ranges; a row that is not taken has none. Call it on
+    narrow rows: they are written once.
+    """
+    rows = save(mixed.withColumn("_row", F.monotonically_increasing_id()), "mixed")
+    copies = rows.select("_row", "doc_id", F.explode(f"{own}.positions").alias("_at"))
+    numbered = row_index(copies, ["_at", "doc_id", "_row"], "_order")
+    orders = numbered.groupBy("_row").agg(F.sort_array(F.collect_list("_order")).alias("orders"))
+    none = F.array().cast("array<bigint>")
+    return rows.join(orders, "_row", "left").select(*mixed.columns, F.coalesce("orders", none).alias("orders"))
+
+
 def curriculum(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as training takes them, copies repeated, in the order of their positions."""
-    own = own_name(docs, "mix")
+    """The rows of ``docs`` as training takes them, copies repeated, sorted by ``position``, the training time (0 to 1).
+
+    A column of ``docs`` with that name keeps it; the new one then gets underscores in front.
+    """
+    own, at = own_name(docs, "mix"), own_name(docs, "position")
     mixed = mix(docs, **options)
-    at = own_name(docs, "position")
-    return mixed.select(*docs.columns, F.explode(f"{own}.positions").alias(at)).orderBy(at, "doc_id").select(*docs.columns)
+    return mixed.select(*docs.columns, F.explode(f"{own}.positions").alias(at)).orderBy(at, "doc_id")

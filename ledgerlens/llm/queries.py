@@ -9,7 +9,7 @@ from ledgerlens.llm import (
     chat, katz, knn, language_id, minhash, mixing, packing, phrases, quality, runs, url_filter, vectors, warc,
 )
 from ledgerlens.llm.common import WORD, word_count
-from ledgerlens.plans.registry import Query, table
+from ledgerlens.plans.registry import Query, near, near_sql, table
 from ledgerlens.scratch import scratch_path
 
 QUERIES: dict[str, Query] = {}
@@ -87,19 +87,26 @@ c AS (
 l AS (
   SELECT min_by(CAST(total - cap_before AS DOUBLE) / CAST(weights - weight_before AS DOUBLE), weight_before) AS level FROM c
   WHERE CAST(cap AS DOUBLE) >= CAST(total - cap_before AS DOUBLE) / CAST(weights - weight_before AS DOUBLE) * weight),
-t AS (SELECT source, own, least(level * weight, CAST(cap AS DOUBLE)) AS target FROM w, l),
+t AS (SELECT source, own, place, least(level * weight, CAST(cap AS DOUBLE)) AS target FROM w, l),
 b AS (
-  SELECT d.doc_id, d.size, own, target, coalesce(sum(d.size) OVER (
+  SELECT row_number() OVER () AS row, d.doc_id, d.size, own, target, [0.5, 0.0, -0.5][place % 3 + 1]::DOUBLE AS a, coalesce(sum(d.size) OVER (
     PARTITION BY d.source ORDER BY md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':42'), doc_id, d.size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+y AS (
+  SELECT *, unnest(CASE WHEN size > 0 AND target > 0 THEN list_filter(list_transform([0, 1, 2],
+    lambda c: CAST(2 * (c * own + before) + size AS DOUBLE) / (2.0 * target)), lambda y: y <= 1) ELSE [] END) AS y FROM b),
+o AS (
+  SELECT row, row_number() OVER (ORDER BY 2 * y / (1 + a + sqrt((1 + a) * (1 + a) - 4 * a * y)), doc_id NULLS LAST) - 1 AS n FROM y),
+taken AS (SELECT row, count(*) AS copies, min(n) AS first_order, max(n) AS last_order FROM o GROUP BY row)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(own AS BIGINT) AS source_size, target,
-  CAST(CASE WHEN size > 0 AND target > 0 THEN size * len(list_filter([0, 1, 2],
-    lambda c: CAST(2 * (c * own + before) + size AS DOUBLE) / (2.0 * target) <= 1)) ELSE 0 END AS BIGINT) AS taken
-FROM b""")
+  CAST(coalesce(copies, 0) * size AS BIGINT) AS taken, first_order, last_order
+FROM b LEFT JOIN taken USING (row)""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken")
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "mix")
+    return mixing.training_order(mixed).select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken",
+        F.array_min("orders").alias("first_order"), F.array_max("orders").alias("last_order"))
 
 
 MARKED = f"{chat.END}{chat.START}assistant ok"
@@ -250,7 +257,33 @@ def periodic_words(docs: DataFrame) -> DataFrame:
         moved.select("doc_id", F.array_join(places, " ").alias("text")))
 
 
-@query("op11_periodic_runs")
+# CRC-32 of the decimal doc_id, bit by bit
+CRC_SQL = """xor(4294967295::UBIGINT, list_reduce(
+  list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ord(c)::UBIGINT)),
+  lambda s, b: list_reduce(list_prepend(xor(s, b), list_transform(range(0, 8), lambda i: 0::UBIGINT)),
+    lambda v, z: xor(v >> 1, 3988292384::UBIGINT * (v & 1)))))"""
+
+
+@query("op11_periodic_runs", f"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, CAST({CRC_SQL} AS BIGINT) AS h, coalesce(regexp_extract_all(text, {WORD_SQL}), []) AS w FROM documents),
+e AS (SELECT *, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS chosen, (h // 10) % greatest(len(w), 1) AS a, h // 10 AS g FROM d),
+m AS (
+  SELECT row, doc_id, n, CASE WHEN chosen THEN list_transform(range(0, n), lambda i:
+    w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM e),
+p AS (SELECT row, n, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM m),
+same AS (SELECT x.row, y.i - x.i AS q, x.i FROM p x JOIN p y ON x.row = y.row AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+stretch AS (
+  SELECT row, q, min(i) AS s, count(*) + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS part FROM same)
+  GROUP BY row, q, part HAVING count(*) + q >= greatest(24, 3 * q)),
+run AS (SELECT row, s, len, min(q) AS q FROM stretch GROUP BY row, s, len),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY row ORDER BY len / q DESC, s, q) = 1),
+told AS (SELECT row, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM run GROUP BY row),
+gone AS (SELECT DISTINCT row, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT row, string_agg(w, ' ' ORDER BY i) AS text FROM p ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(s AS BIGINT) AS start, CAST(len AS BIGINT) AS length, CAST(q AS BIGINT) AS period,
+  CAST(1000 * len // q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM m LEFT JOIN told USING (row) LEFT JOIN best USING (row) LEFT JOIN kept USING (row)""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = runs.find_runs(periodic_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
     lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
@@ -265,11 +298,38 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * _best.length div _best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-@query("op12_katz_score")
+def line_sql(counts: str, count: str) -> str:
+    """The slope of the logarithm of counts of counts, each spread over the gap between its neighbours."""
+    return f"""(SELECT least({katz.MAX_SLOPE}, coalesce(regr_slope(ln(2.0 * n / (high - low)), ln(r)), {katz.SLOPE})) AS b FROM (
+  SELECT r, n, coalesce(lag(r) OVER (ORDER BY r), 0) AS low, coalesce(lead(r) OVER (ORDER BY r), 2 * r - lag(r) OVER (ORDER BY r)) AS high
+  FROM (SELECT {count} AS r, count(*) AS n FROM {counts} WHERE {count} <= {katz.FITTED} GROUP BY 1)))"""
+
+
+@query("op12_katz_score", f"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce({CRC_SQL} % 10 = 0, FALSE) AS held_out,
+    list_append(regexp_extract_all(coalesce({LOWER_SQL}, ''), {WORD_SQL}), '') AS w FROM documents),
+k AS (SELECT row, doc_id, held_out, unnest(w) AS w, unnest(list_prepend('', w[1:-2])) AS v FROM t),
+c AS (SELECT w, count(*) AS c FROM k WHERE NOT held_out GROUP BY w),
+c2 AS (SELECT v, w, count(*) AS c2 FROM k WHERE NOT held_out GROUP BY v, w),
+n AS (SELECT sum(c) AS n, count(*) AS types FROM c),
+l1 AS {line_sql('c', 'c')}, l2 AS {line_sql('c2', 'c2')},
+one AS (SELECT w, c, c * pow(1 + 1.0 / c, b + 1) / n AS p FROM c, l1, n),
+unknown AS (SELECT sum(c - c * pow(1 + 1.0 / c, b + 1)) / any_value(n) AS p0 FROM c, l1, n),
+h AS (
+  SELECT v, sum(c2) AS total, (1 - sum(c2 * pow(1 + 1.0 / c2, b + 1)) / sum(c2)) / (1 - sum(p)) AS weight
+  FROM c2 JOIN one USING (w), l2 GROUP BY v),
+s AS (
+  SELECT row, any_value(doc_id) AS doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c) AS n_known,
+    sum(log10((coalesce(c, 0) + 0.1) / (n.n + 0.1 * (types + 1)))) AS base,
+    sum(log10(CASE WHEN c2 IS NULL THEN coalesce(weight, 1.0) * coalesce(p, p0) ELSE c2 * pow(1 + 1.0 / c2, b + 1) / total END)) AS score
+  FROM k LEFT JOIN one USING (w) LEFT JOIN c2 USING (v, w) LEFT JOIN h USING (v), n, l2, unknown GROUP BY row)
+SELECT doc_id, held_out, n_tokens, n_known, CAST((SELECT n FROM n) AS BIGINT) AS train_tokens, {near_sql('base')} AS base_score, {near_sql('score')} AS score
+FROM s""")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = F.coalesce(remainder(10) != 0, F.lit(True))
     scored, _ = katz.score_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"), train)
-    return scored
+    return scored.withColumns({c: near(c) for c in ("base_score", "score")})
 
 
 @query("op13_collocations", f"""

@@ -26,7 +26,7 @@ SEED = 17
 def table_plan(rows: int, cosine: float, miss: float) -> tuple[int, int]:
     """(bits, tables): bits grow with the logarithm of the rows, so that buckets of unrelated vectors stay small;
     there are as many tables as it takes to miss a pair at ``cosine`` with a probability below ``miss``."""
-    bits = min(24, max(4, math.ceil(math.log2(max(rows, 1) / BUCKET + 1))))
+    bits = max(4, math.ceil(math.log2(max(rows, 1) / BUCKET + 1)))
     same = (1 - math.acos(min(1.0, max(-1.0, cosine))) / math.pi) ** bits
     return bits, 1 if same >= 1 else math.ceil(math.log(miss) / math.log1p(-same))
 
@@ -104,16 +104,19 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS)
     Vectors of one label and length are linked at a cosine of at least ``cosine``, in double precision. A null label,
     and a null, empty or zero vector or one with null or non-finite components, links with nothing. Equal vectors of a
     label are compared as one and counted as many. Rows without vec_id have no links, a null component, and are kept.
-    Rows that repeat a vec_id are one vector: their links are added up, and they do not link with themselves unless
-    their embeddings differ. An empty table gives an empty one. Other columns are not read.
+    Equal rows are one vector. Rows that repeat a vec_id with other vectors (or labels) are one node: their links are
+    added up, those between them included. An empty table gives an empty one. Other columns are not read.
     """
     rows = need(vectors, "vec_id", "embedding", "label").select(
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("long"))
     coded = save(_codes(rows, *table_plan(rows.count(), cosine, miss)), "codes")
     known = coded.where("vec_id IS NOT NULL AND codes IS NOT NULL").withColumn("print", F.sha2(F.to_json(F.struct("embedding")), 256))
-    classes = known.groupBy("label", "print").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"))
+    # every different vector of a label has a number of its own, as the rows of an id may hold several
+    classes = save(known.groupBy("label", "print").agg(
+        F.min("vec_id").alias("first"), F.countDistinct("vec_id").alias("copies"),
+    ).withColumn("rep", F.monotonically_increasing_id()), "classes")
     reps = save(
-        known.join(classes.withColumn("vec_id", F.col("rep")), ["label", "print", "vec_id"])
+        known.join(classes.withColumn("vec_id", F.col("first")), ["label", "print", "vec_id"])
         .dropDuplicates(["label", "print"]).select("rep", "copies", "label", "embedding", "codes"), "representatives")
 
     # buckets with one vector say nothing; large ones are cut into chunks
@@ -149,8 +152,10 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, miss: float = MISS)
         .select(*block, "rep", "copies", "embedding", "codes", "chunk")
         .mapInPandas(per_partition, "rep long, n long, root long"), "vector-links")
 
-    members = known.join(classes, ["label", "print"]).select("vec_id", "rep", "copies").distinct()
-    edges = found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(members.select("vec_id", "rep"))
+    members = save(known.join(classes, ["label", "print"]).select("vec_id", "rep", "first", "copies").distinct(), "members")
+    ends = classes.select("rep", "first")
+    linked = found.select("rep", "root").where("rep <> root").distinct().join(ends.toDF("rep", "a"), "rep").join(ends.toDF("root", "b"), "root")
+    edges = linked.select("a", "b").union(members.select("vec_id", "first"))
     others = found.groupBy("rep").agg(F.sum("n").alias("n"))
     links = members.join(others, "rep", "left").groupBy("vec_id").agg(
         F.sum(F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))

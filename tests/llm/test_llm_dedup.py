@@ -163,6 +163,27 @@ def test_vectors_without_ids(spark):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_repeated_ids(spark, monkeypatch):
+    """Each different vector counts by itself; the rows of an id are one node."""
+    rows = [(1, [1.0, 0.0], 1), (1, [1.0, 0.01], 1), (2, [0.0, 1.0], 1)]
+    kind = "vec_id long, embedding array<double>, label int"
+    assert {tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, kind)).collect()} == {(1, 2, 1, True), (2, 0, 2, True)}
+    monkeypatch.setattr(vectors, "CHUNK_VECTORS", 4)
+    random_ = np.random.default_rng(4)
+    base = random_.standard_normal((6, 8))
+    rows = [(int(random_.integers(40)), (base[k % 6] + 0.1 * random_.standard_normal(8)).tolist(), int(k % 2)) for k in range(90)]
+    rows += [(5, base[0].tolist(), 0)] * 9 + [(6, base[0].tolist(), 0), (6, base[0].tolist(), 1)]
+    distinct = sorted({(i, tuple(v), l) for i, v, l in rows})
+    pairs = []
+    for a, (i, v, l) in enumerate(distinct):
+        for j, w, m in distinct[a + 1:]:
+            if l == m and np.dot(v, w) / (np.linalg.norm(v) * np.linalg.norm(w)) >= 0.98:
+                pairs.append((i, j))
+    label = roots({i for i, _, _ in rows}, [p for p in pairs if p[0] != p[1]])
+    got = {tuple(r) for r in vectors.near_vectors(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {(i, sum((a == i) + (b == i) for a, b in pairs), label[i], i == label[i]) for i in label}
+
+
 def test_table_plan_keeps_the_miss_bound():
     for rows in (0, 1, 10, 10**4, 10**7, 10**10):
         bits, tables = vectors.table_plan(rows, 0.98, 1e-6)

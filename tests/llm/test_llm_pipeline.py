@@ -33,7 +33,18 @@ def test_rejected_documents_go_and_others_stay(steps):
         rows = {tuple(r) for r in earlier}
         assert later and all(tuple(r) in rows for r in later) and later[0].__fields__ == COLUMNS
     assert 10**6 + 3 not in {r["doc_id"] for r in distinct}
-    assert {tuple(r) for r in mixed} <= {tuple(r) for r in distinct}
+    assert {tuple(r)[:-1] for r in mixed} <= {tuple(r) for r in distinct} and mixed[0].__fields__ == [*COLUMNS, "position"]
+
+
+def test_sequences_keep_the_training_order(steps):
+    """Every piece has the position of its document, copies their own."""
+    want, got = {}, {}
+    for r in steps[4]:
+        want.setdefault(r["doc_id"], []).append(r["position"])
+    for r in steps[5]:
+        if r["piece"] == 0:
+            got.setdefault(r["doc_id"], []).append(r["position"])
+    assert {d: sorted(p) for d, p in got.items()} == {d: sorted(p) for d, p in want.items()} and all(0 <= p <= 1 for ps in got.values() for p in ps)
 
 
 def test_sequences_hold_the_mixed_documents(steps):

@@ -35,6 +35,49 @@ def test_search_with_few_rows_and_two_lengths(spark):
     assert knn.nearest_by_product(df, 5, 256, F.lit(False)).count() == 0
 
 
+def test_search_among_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 16)
+    df = spark.createDataFrame([(50, [1.0, 0.0]), (1, [0.5, 0.0]), (1, [-3.0, 0.0]), (2, [0.1, 0.0])], "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in knn.nearest_by_product(df, 5, 256, F.col("vec_id") % 50 == 0).collect()}
+    assert got == {(50, 1, 1, 32768), (50, 2, 2, 6400), (50, 3, 1, -196608)}
+    random_ = np.random.default_rng(8)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(random_.integers(0, 40, 300), random_.integers(-3, 4, (300, 4)))]
+    rows += [(7, [1.0, 2.0, 3.0, 3.0])] * 200
+    got = sorted(tuple(r) for r in knn.nearest_by_product(
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 1, F.col("vec_id") % 20 == 0).collect())
+    want, distinct = [], sorted({(i, tuple(v)) for i, v in rows})
+    for q in (0, 20):
+        best = sorted((-int(np.dot(v, w)), j) for i, v in distinct if i == q for j, w in distinct if j != q)[:5]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    assert got == sorted(want)
+
+
+def test_search_with_large_components(spark):
+    def search(rows):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        return sorted(tuple(r) for r in knn.nearest_by_product(df, 5, 256, F.col("vec_id") == 0).collect())
+
+    assert search([(0, [1.0, 1.0]), (1, [1e7, 0.5]), (2, [-1e7, 1e7])]) == [(0, 1, 1, 256 * (2560000000 + 128)), (0, 2, 2, 0)]
+    # beyond the whole numbers of doubles: sums that doubles would round
+    assert search([(0, [2.0**40, 1 / 256]), (1, [1.0, 1 / 256]), (2, [1.0, 2 / 256])]) == [(0, 1, 2, 2**56 + 2), (0, 2, 1, 2**56 + 1)]
+    with pytest.raises(Exception):
+        search([(0, [1e200, 0.0]), (1, [1e200, 0.0])])
+
+
+def test_search_among_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LENGTHS", 2)
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 3)
+    monkeypatch.setattr(knn, "GROUP_QUERIES", 2)
+    random_ = np.random.default_rng(9)
+    rows = [(i, random_.integers(-3, 4, 1 + i % 7).astype(float).tolist()) for i in range(150)]
+    got = {tuple(r) for r in knn.nearest_by_product(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 5, 1, F.col("vec_id") % 5 == 0).collect()}
+    want = set()
+    for q, v in rows[::5]:
+        best = sorted((-int(np.dot(v, w)), j) for j, w in rows if j != q and len(w) == len(v))[:5]
+        want |= {(q, r + 1, j, -s) for r, (s, j) in enumerate(best)}
+    assert got == want
+
+
 def test_pruned_groups_leave_out_data(spark):
     """Two far clusters: the bounds keep each group's data to its own side."""
     rows = [(i, [4.0 * (1 if i % 2 else -1), (i % 7) / 100]) for i in range(600)]
@@ -90,9 +133,26 @@ def test_mix(spark, monkeypatch, bucket):
 
 def test_curriculum_follows_the_schedules(spark):
     rows = [(i, "ab"[i % 2], "w w w w", "x") for i in range(600)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, text string, mix string")
-    sources = [r["source"] for r in mixing.curriculum(df, weights=(1, 1), schedules=((1.8, 0.2), (0.2, 1.8))).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, position string")
+    options = {"weights": (1, 1), "schedules": ((1.8, 0.2), (0.2, 1.8))}
+    found = mixing.curriculum(df, **options)
+    assert found.columns == [*df.columns, "_position"]
+    rows = found.collect()
+    sources = [r["source"] for r in rows]
     assert len(sources) == 600 and sources[:150].count("a") > 110 and sources[-150:].count("b") > 110
+    assert rows == sorted(rows, key=lambda r: (r["_position"], r["doc_id"])) and {r["position"] for r in rows} == {"x"}
+    # the numbers of the copies are those of the sorted rows
+    ordered = mixing.training_order(mixing.mix(df, **options).select("doc_id", "source", "mix")).collect()
+    assert sorted((n, r["doc_id"]) for r in ordered for n in r["orders"]) == [(i, r["doc_id"]) for i, r in enumerate(rows)]
+
+
+def test_training_order_of_copies(spark):
+    rows = [(i, "ab"[i > 2], "w " * 10, "x") for i in range(40)] + [(None, "a", "w w", "x"), (5, "b", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, mix string")
+    ordered = mixing.training_order(mixing.mix(df, weights=(5, 1)).select("doc_id", "_mix"), "_mix").collect()
+    at = sorted((p, n) for r in ordered for p, n in zip(r["_mix"]["positions"], r["orders"]))
+    assert [n for _, n in at] == list(range(len(at))) and any(len(r["orders"]) == 3 for r in ordered)
+    assert all(len(r["orders"]) == r["_mix"]["copies"] for r in ordered) and len(ordered) == len(rows)
 
 
 def test_mix_of_nothing(spark):
@@ -147,7 +207,7 @@ def test_chat_of_nothing(spark):
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("a.b", "", "block"), ("x.a.b", "/q", "allow"), ("long.net", "/en/deep/er", "block")]
 
 
-def judge(url):
+def judge(url, listed=RULES):
     host, path = "", ""
     if url and "://" in url:
         rest = url.split("://", 1)[1]
@@ -155,7 +215,7 @@ def judge(url):
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
         path = rest[cut:]
         path = path[:min([i for i in (path.find(c) for c in "?#") if i >= 0] + [len(path)])]
-    fits = [(len(h + p), len(h), h + p, v) for h, p, v in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    fits = [(len(h + p), len(h), h + p, v) for h, p, v in listed if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, default=(0, 0, None, "allow"))
     return host, path, best[2], best[3]
 
@@ -174,6 +234,17 @@ def test_urls(spark):
     assert got == {i: judge(u) for i, u in enumerate(urls)}
 
 
+def test_urls_of_very_many_labels_and_odd_lists(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_LENGTHS", 3)
+    listed = RULES + [("a." * 9 + "deep", "/" + "p" * n, "block") for n in range(6)] + [("x.net", "/" + "q" * n, "allow") for n in range(9)]
+    long = "x." * 100_000 + "net"
+    urls = [f"http://{long}/", f"http://{long}/qqqqqq", "http://b." + "a." * 9 + "deep/pppp", "http://" + "a." * 8 + "deep/pp", "http://x.net/qqq1", "http://y.x.net/qqqqqqqqq", "http://q/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame(listed, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules).collect()}
+    assert got == {i: judge(u, listed) for i, u in enumerate(urls)}
+
+
 def test_urls_with_empty_tables(spark):
     listed = spark.createDataFrame(RULES, "host string, path string, verdict string")
     pages = spark.createDataFrame([(1, "http://net/")], "page_id long, url string")

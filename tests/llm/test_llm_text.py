@@ -133,6 +133,56 @@ def test_packing_round_trip(spark, monkeypatch, score):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("unit", [" ", "\n", "\t", "z"])
+def test_very_long_runs_of_one_character(spark, unit):
+    """Texts that the quick tokeniser's regular expressions refuse get the same ids from the other one."""
+    own = packing.tokenizer(packing.default_vocabulary())
+    short = "x" + unit * 3_000 + "y"
+    assert own.encode(short, add_special_tokens=False).ids == packing.token_ids(short, packing.default_vocabulary()).tolist()
+    text = "x" + unit * 2_000_000 + "y"
+    ids = np.append(own.encode(text, add_special_tokens=False).ids, 0).astype("<u4")
+    docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    got = packing.pack(docs).where("doc_id = 1").orderBy("start").collect()
+    assert sum(r["length"] for r in got) == len(ids)
+    assert all(r["ids_crc32"] == zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes()) for r in got)
+
+
+def plain_best_fit(lengths, capacity, weights, score):
+    """The definition: longest first, into the sequence with the best score among those with room, else a new one."""
+    bins, places = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        want = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for b, room in enumerate(bins):
+            if all(r >= w for r, w in zip(room, want)):
+                if score == "dot":
+                    value = -sum(r / c * (w / c) * x for r, w, c, x in zip(room, want, capacity, weights))
+                else:
+                    value = sum(((r - w) / c) ** 2 * x for r, w, c, x in zip(room, want, capacity, weights))
+                if best is None or value < best[0] - 1e-12:
+                    best = (value, b)
+        if best is None:
+            bins.append(list(capacity))
+            best = (0, len(bins) - 1)
+        places[i] = (best[1], capacity[0] - bins[best[1]][0])
+        bins[best[1]] = [r - w for r, w in zip(bins[best[1]], want)]
+    return places
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(64, 64, 64.0**2), (64, 3, 64.0**2), (64, 5, 1.2 * 64.0**2)])
+def test_best_fit_by_its_definition(score, capacity):
+    lengths = np.random.default_rng(3).integers(1, 65, 300)
+    sequence, offset = packing.best_fit(lengths, capacity, packing.WEIGHTS, score)
+    assert {i: (s, o) for i, (s, o) in enumerate(zip(sequence, offset))} == plain_best_fit(lengths.tolist(), capacity, packing.WEIGHTS, score)
+
+
+def test_packing_carries_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 40, 0.25), (2, "d", None)], "doc_id long, text string, position double")
+    got = packing.pack(docs, max_tokens=32, carry=("position",)).collect()
+    assert {(r["doc_id"], r["position"]) for r in got} == {(1, 0.25), (2, None)} and len(got) > 3
+
+
 def test_best_fit_is_near_the_bound():
     lengths = np.random.default_rng(1).integers(1, 2049, 5_000)
     sequence, _ = packing.best_fit(lengths, (2048, 2048, 2048.0 ** 2), packing.WEIGHTS)
