@@ -31,13 +31,13 @@ def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the curriculum takes them, copies repeated, in training order."""
+    """Documents as the curriculum takes them, copies repeated, sorted by the column ``position`` that is added."""
     return mixing.curriculum(docs)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per packed piece."""
-    return packing.pack(docs)
+    """One row per packed piece, with its document's training position."""
+    return packing.pack(docs, carry=("position",))
 
 
 STAGES: list[tuple[str, Stage]] = [
