@@ -79,7 +79,9 @@ ROWS_PER_SLICE = 1_000_000
 SALTS = 32
 # at most this many rows are ever sent to every executor
 BROADCAST_ROWS = 100_000
-# exact quantiles of more rows than this first narrow down to the values near the wanted ranks
+# quantiles of so many values or fewer, over all columns, come from one aggregation that holds them
+HELD_VALUES = 2_000_000
+# exact positions of more rows than this first narrow down to the values near the wanted ranks
 NARROW_ROWS = 5_000_000
 # accuracy of the sketch that finds these values
 SKETCH_ACCURACY = 10_000

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import logging
+import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.config import (
-    DRIFT_FRACTION, DRIFT_MIN_ROWS, LABEL, LABEL_DRIFT, MONITORED_FEATURES, NARROW_ROWS, PSI_BINS, PSI_CRITICAL, PSI_FLOOR,
+    DRIFT_FRACTION, DRIFT_MIN_ROWS, HELD_VALUES, LABEL, LABEL_DRIFT, MONITORED_FEATURES, PSI_BINS, PSI_CRITICAL, PSI_FLOOR,
     PSI_MIN_VALUES, PSI_WARNING, ROWS_PER_SLICE,
 )
-from ledgerlens.functions.scalars import floor_clip
-from ledgerlens.operators.quantiles import few_group_quantiles
+from ledgerlens.operators.quantiles import column_quantiles
 from ledgerlens.scratch import save
 
 log = logging.getLogger(__name__)
@@ -24,56 +24,61 @@ def _monitored(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     return save(df.select(*found), name) if found else df
 
 
-def _long(df: DataFrame, features: list[str]) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in features])
-    long = df.select(F.explode(pairs).alias("p")).select("p.feature", "p.value")
-    return long.where(F.col("value").isNotNull() & ~F.isnan("value"))
+def _values(features: list[str]) -> dict[str, Column]:
+    """The features as doubles, without NaN."""
+    values = {c: F.col(c).cast("double") for c in features}
+    return {c: F.when(~F.isnan(v), v) for c, v in values.items()}
+
+
+def _per_bin(df: DataFrame, edges: dict[str, list[float]], open_ends: bool) -> dict[str, list[int]]:
+    """Rows of every feature outside and in each bin, from one aggregation of all features.
+
+    A bin holds ``edge <= value < next edge``, the last one its upper edge, too.
+    """
+    values, counts = _values(list(edges)), []
+    for feature, at in edges.items():
+        value = values[feature]
+        # the value at the top is in the last bin; edges equal to the top open no other
+        place = sum([F.when(value >= F.lit(e), 1).otherwise(0) for e in at[1:-1] if e < at[-1]], F.lit(0))
+        inside = F.lit(True) if open_ends else value.between(F.lit(at[0]), F.lit(at[-1]))
+        placed = F.when(value.isNotNull(), F.when(inside, place).otherwise(F.lit(-1)))
+        counts += [F.count_if(placed == i) for i in range(-1, len(at) - 1)]
+    found, out, start = df.agg(*counts).first(), {}, 0
+    for feature, at in edges.items():
+        out[feature] = list(found[start:start + len(at)])
+        start += len(at)
+    return out
+
+
+def _stability(expected: list[int], actual: list[int]) -> float:
+    """The index of counts (outside, bin 0, bin 1, ...); only bins that a side has rows in count."""
+    if min(sum(expected), sum(actual)) < PSI_MIN_VALUES:
+        return 0.0
+    total = 0.0
+    n_e, n_a = sum(expected[1:]), sum(actual[1:])
+    for e, a in zip(expected[1:], actual[1:]):
+        if e or a:
+            pe, pa = max(e / n_e, PSI_FLOOR), max(a / n_a if n_a else 0.0, PSI_FLOOR)
+            total += (pa - pe) * math.log(pa / pe)
+    return total
 
 
 def psi_table(
     expected: DataFrame, actual: DataFrame, features: list[str], bins: int = PSI_BINS, open_ends: bool = False,
-    rows_per_slice: int = ROWS_PER_SLICE, narrow_rows: int = NARROW_ROWS,
+    rows_per_slice: int = ROWS_PER_SLICE, held: int = HELD_VALUES,
 ) -> DataFrame:
     """``(feature, psi)`` for all features together.
 
-    Bin edges are exact interpolated quantiles of the expected side; equal edges collapse. One pass over
-    both sides then counts rows per (feature, bin) before anything is shuffled. Actual values outside the
-    edges are ignored, or join the end bins with ``open_ends``.
+    Bin edges are exact interpolated quantiles of the expected side; equal edges collapse. All features share one
+    aggregation of the expected side for the edges and one of each side for the counts: rows are never copied per feature
+    or shuffled. Actual values outside the edges are ignored, or join the end bins with ``open_ends``.
     """
-    spark = expected.sparkSession
-    long_expected = _long(expected, features)
     qs = [i / bins for i in range(bins + 1)]
-    found = few_group_quantiles(
-        long_expected, "feature", "value", qs, expected.count() * len(features), narrow_rows,
-        rows_per_slice=rows_per_slice,
-    )
-    named = spark.createDataFrame([(f,) for f in features], "feature string")
-    usable = [(f, edges) for f, edges in found.items() if len(set(edges)) >= 3]
-    if not usable:
-        return named.withColumn("psi", F.lit(0.0))
-    # one row per monitored feature
-    names = [f"edge{i}" for i in range(bins + 1)]
-    table = spark.createDataFrame(
-        [(f, *map(float, edges)) for f, edges in usable], "feature string, " + ", ".join(f"{n} double" for n in names)
-    )
-    value, top = F.col("value"), F.col(names[-1])
-    inner: list[Column] = [F.when((value >= F.col(n)) & (F.col(n) < top), 1).otherwise(0) for n in names[1:-1]]
-    inside = F.lit(True) if open_ends else value.between(F.col(names[0]), top)
-    sides = long_expected.select("*", F.lit(1).alias("e"), F.lit(0).alias("a")).unionByName(
-        _long(actual, features).select("*", F.lit(0).alias("e"), F.lit(1).alias("a"))
-    )
-    per_bin = sides.join(F.broadcast(table), "feature").select(
-        "feature", "e", "a", F.when(inside, sum(inner, F.lit(0))).otherwise(F.lit(-1)).alias("bin")
-    ).groupBy("feature", "bin").agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
-    whole = Window.partitionBy("feature")
-    sized = per_bin.withColumns({"n_e": F.sum("e").over(whole), "n_a": F.sum("a").over(whole)}).where("bin >= 0")
-    pe = floor_clip(F.col("e") / F.sum("e").over(whole), PSI_FLOOR)
-    pa = floor_clip(F.coalesce(F.try_divide(F.col("a"), F.sum("a").over(whole)), F.lit(0.0)), PSI_FLOOR)
-    enough = (F.col("n_e") >= PSI_MIN_VALUES) & (F.col("n_a") >= PSI_MIN_VALUES)
-    index = sized.select("feature", pe.alias("pe"), pa.alias("pa"), enough.alias("enough")).groupBy("feature").agg(
-        F.sum(F.when(F.col("enough"), (F.col("pa") - F.col("pe")) * F.ln(F.col("pa") / F.col("pe")))).alias("psi")
-    )
-    return named.join(index, "feature", "left").withColumn("psi", F.coalesce("psi", F.lit(0.0)))
+    found = column_quantiles(expected, _values(features), qs, expected.count(), held, rows_per_slice=rows_per_slice)
+    edges = {f: [float(e) for e in found[f]] for f in features if f in found and len(set(found[f])) >= 3}
+    counts = [_per_bin(side, edges, open_ends) if edges else {} for side in (expected, actual)]
+    rows = [(f, _stability(counts[0][f], counts[1][f]) if f in edges else 0.0) for f in features]
+    return expected.sparkSession.createDataFrame(rows, "feature string, psi double")
 
 
 def psi(expected: DataFrame, actual: DataFrame, feature: str, **options) -> float:
@@ -126,6 +131,17 @@ def label_drift(
     )
 
 
+def decision_reason(moved: Column, critical: Column, total: Column, drifted: Column, change: Column) -> Column:
+    """What led to the decision: the features moved, the label rate drifted, both, or nothing. The texts are fixed values."""
+    reasons = F.concat_ws(
+        " AND ",
+        F.when(moved, F.format_string(
+            "%d/%d features  (%.0f%%) exceeded critical PSI threshold", critical, total, critical / total * 100)),
+        F.when(drifted, F.format_string("Target fraud rate shifted by %.4f", change)),
+    )
+    return F.when(reasons == "", "No significant drift detected").otherwise(reasons)
+
+
 def drift_decision(
     baseline: DataFrame, production: DataFrame, features: list[str] = MONITORED_FEATURES, label: str = LABEL,
     min_rows: int = DRIFT_MIN_ROWS, fraction: float = DRIFT_FRACTION, label_threshold: float = LABEL_DRIFT,
@@ -153,21 +169,12 @@ def drift_decision(
         F.count_if(F.col("status") == "CRITICAL").alias("critical"),
     ).withColumn("_share", share)
     features_moved = F.col("_share") >= fraction
-    # the texts of the reason are fixed values
-    reasons = F.concat_ws(
-        " AND ",
-        F.when(features_moved, F.format_string(
-            "%d/%d features (%.0f%%) exceeded critical PSI threshold",
-            "critical", "total_features", F.col("_share") * 100,
-        )),
-        F.when(F.lit(labels["drifted"]), F.lit(
-            f"Target fraud rate shifted by {labels['absolute_change'] or 0.0:.4f}"
-        )),
-    )
+    reasons = decision_reason(
+        features_moved, F.col("critical"), F.col("total_features"), F.lit(labels["drifted"]), F.lit(labels["absolute_change"] or 0.0))
     return summary.select(
         F.lit(False).alias("skipped"), "total_features", "ok", "warning", "critical",
         F.round("_share", 4).alias("drift_fraction"), F.lit(baseline.count()).cast("long").alias("baseline_rows"),
         F.lit(production_rows).cast("long").alias("production_rows"),
         (features_moved | F.lit(labels["drifted"])).alias("should_retrain"),
-        F.when(reasons == "", "No significant drift detected").otherwise(reasons).alias("reason"),
+        reasons.alias("reason"),
     )

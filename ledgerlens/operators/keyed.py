@@ -4,7 +4,7 @@ One engine serves trailing windows, expanding statistics, time since the last ro
 requests against a history. Ordinary keys use plain windows: one exchange on the key and one sort.
 Keys above ``hot_rows`` are cut into ordered slices of bounded size; running values come from the
 slice's own window merged with a carry from the earlier slices. Keys above ``frame_rows`` get their
-trailing windows from differences of prefix sums, also sliced, whose cost does not depend on the
+trailing windows from sums per time bucket (``buckets.py``), whose cost does not depend on the
 length of the window. Both ways add amounts as whole numbers (``exact.py``), so their sums are equal.
 """
 
@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import AMOUNT, FRAME_ROWS, HOT_ROWS, ID, ROWS_PER_SLICE, TIME
+from ledgerlens.operators.buckets import bucket_windows
 from ledgerlens.operators.exact import ExactSum
+from ledgerlens.scratch import save
 from ledgerlens.skew import (
     SLICE, HotKeys, broadcast_if_small, find_hot_keys, null_spread, range_slices, slice_count, split_hot,
 )
@@ -127,67 +129,26 @@ def trailing(df: DataFrame, spec: Keyed, windows: dict[str, int], prefix: str, e
     return df.withColumns(out)
 
 
-def trailing_prefix(
-    df: DataFrame, spec: Keyed, windows: dict[str, int], prefix: str, exact: ExactSum, hot: HotKeys, rows_per_slice: int
+def trailing_buckets(
+    df: DataFrame, spec: Keyed, windows: dict[str, int], prefix: str, exact: ExactSum, rows_per_slice: int
 ) -> DataFrame:
-    """Count and sum over ``[t - w, t)`` for hot keys as differences of running totals.
+    """The same for busy keys, from sums per time bucket, which are whole numbers: nothing is lost in a difference.
 
-    The result depends on (key, instant) only, so rows are combined to instants first. Each instant
-    asks for the totals before ``t`` and before ``t - w``; questions and data are put in one order,
-    cut into slices, and every slice adds its running sums to the totals of the slices before it.
-    All totals are whole numbers, so nothing is lost in a difference. Rows without a time stay out of it.
+    The result depends on (key, instant) only, so rows are combined to instants first. Rows without a time stay out of it.
     """
     key, time = spec.key, spec.time
-    parts = {f"p{i}": part for i, part in enumerate(exact.parts(spec.fed(F.col(spec.amount))))}
-    sums = ["n", *parts]
-    instants = df.where(F.col(time).isNotNull()).groupBy(key, time).agg(
-        F.count(spec.fed(F.lit(1))).alias("n"),
-        *[F.coalesce(F.sum(part), F.lit(0)).alias(c) for c, part in parts.items()],
-    )
-    marks = [("now", 0), *windows.items()]
-    entries = F.array(*[
-        F.struct(
-            F.lit(name).alias("mark"),
-            (F.col(time) - width * spec.ticks).alias("at"),
-            F.lit(width == 0).alias("data"),
-        )
-        for name, width in marks
-    ])
-    line = instants.withColumn("e", F.explode(entries)).select(
-        key, F.col(time).alias("_t"), "e.mark", "e.at", "e.data",
-        *[F.when(F.col("e.data"), F.col(c)).otherwise(F.lit(0)).alias(c) for c in sums],
-    )
-    order = [key, "at", "data", "_t"]
-    slices = slice_count(line, rows_per_slice, rows=hot.rows * len(marks))
-    sliced = range_slices(line, order, slices, "trailing")
-    past = Window.partitionBy(key).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(key, SLICE)
-        .agg(*[F.sum(c).alias(c) for c in sums])
-        .select(key, SLICE, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"_{c}0") for c in sums])
-    )
-    before = (
-        Window.partitionBy(key, SLICE).orderBy("at", "data", "_t").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    totals = (
-        sliced.withColumns({f"_{c}1": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in sums})
-        .join(broadcast_if_small(offsets, slices + hot.keys), [key, SLICE])
-    )
-
-    def at_mark(c: str, name: str) -> Column:
-        return F.max(F.when(F.col("mark") == name, F.col(f"_{c}0") + F.col(f"_{c}1")))
-
-    picked = totals.groupBy(key, F.col("_t").alias(time)).agg(
-        *[(at_mark(c, "now") - at_mark(c, name)).alias(f"_{c}_{name}") for name in windows for c in sums]
-    )
+    timed = df.where(F.col(time).isNotNull())
+    parts = {f"_p{i}": part for i, part in enumerate(exact.parts(spec.fed(F.col(spec.amount))))}
+    instants = timed.groupBy(key, time).agg(
+        F.count(spec.fed(F.lit(1))).alias("_c"), *[F.coalesce(F.sum(part), F.lit(0)).alias(c) for c, part in parts.items()])
+    instants = save(instants.where("_c > 0"), "instants")
+    ticks = {name: width * spec.ticks for name, width in windows.items()}
+    found = bucket_windows(timed, instants, [key], time, ticks, ["_c", *parts], rows_per_slice)
     columns = [f"{prefix}_{kind}_{name}" for name in windows for kind in ("count", "amt_sum")]
-    values = [c for name in windows for c in (
-        F.col(f"_n_{name}"), exact.total([F.col(f"_{part}_{name}") for part in parts]))]
-    answers = picked.select(key, time, *[v.alias(c) for c, v in zip(columns, values)])
-    timed = df.where(F.col(time).isNotNull()).join(answers, [key, time], "left")
+    values = [c for name in windows for c in (F.col(f"_c_{name}"), exact.total([F.col(f"{part}_{name}") for part in parts]))]
     zeros = [F.lit(0).cast("long"), F.lit(0.0)] * len(windows)
     untimed = df.where(F.col(time).isNull()).select(*df.columns, *[z.alias(c) for c, z in zip(columns, zeros)])
-    return timed.select(*df.columns, *columns).unionByName(untimed)
+    return found.select(*df.columns, *[v.alias(c) for c, v in zip(columns, values)]).unionByName(untimed)
 
 
 def running_for_busy_keys(
@@ -215,15 +176,17 @@ def keyed_features(
     hot_rows: int = HOT_ROWS,
     rows_per_slice: int = ROWS_PER_SLICE,
     profile: HotKeys | None = None,
+    exact: ExactSum | None = None,
 ) -> DataFrame:
     """Running and trailing features of one key; ``finish`` turns the running columns into outputs.
 
-    ``profile`` may bring the keys above :func:`busy_limit` if they are known already.
+    ``profile`` may bring the keys above :func:`busy_limit`, and ``exact`` the range of the amounts, if they are known.
     """
     prefix = prefix or spec.key
     if profile is None:
         profile = find_hot_keys(df, spec.key, busy_limit(bool(windows), with_running, frame_rows, hot_rows))
-    exact = ExactSum.of(df, F.col(spec.amount)) if windows else None
+    if windows and exact is None:
+        exact = ExactSum.of(df, F.col(spec.amount))
     cold, busy = split_hot(df, spec.key, profile) if profile else (df, None)
     cold = cold.select(*df.columns, null_spread(spec.key, spec.row_id).alias(SLICE))
     # row frames first, range frames second: one exchange and one sort serve both
@@ -238,7 +201,7 @@ def keyed_features(
     if with_running:
         busy = running_for_busy_keys(busy, spec, finish, profile.above(hot_rows), rows_per_slice)
     if windows:
-        busy = trailing_prefix(busy, spec, windows, prefix, exact, profile, rows_per_slice)
+        busy = trailing_buckets(busy, spec, windows, prefix, exact, rows_per_slice)
     return cold.unionByName(busy.select(*cold.columns))
 
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.config import NARROW_ROWS, ROWS_PER_SLICE, SKETCH_ACCURACY
+from ledgerlens.config import HELD_VALUES, ROWS_PER_SLICE, SKETCH_ACCURACY
 from ledgerlens.skew import SLICE, range_slices, slice_count
 
 
@@ -83,67 +83,71 @@ def grouped_quantiles(
     return quantiles_of_counts(sliced, groups, value, "_copies", quantiles)
 
 
-def few_group_quantiles(
-    df: DataFrame, group: str, value: str, quantiles: list[float], rows: int, narrow_rows: int = NARROW_ROWS,
+def column_quantiles(
+    df: DataFrame, columns: dict[str, Column], quantiles: list[float], rows: int, held: int = HELD_VALUES,
     accuracy: int = SKETCH_ACCURACY, rows_per_slice: int = ROWS_PER_SLICE,
 ) -> dict[str, list[float]]:
-    """Exact quantiles for a handful of groups, such as the monitored features; returns them to the driver.
+    """Exact quantiles of a handful of columns (doubles; nulls are ignored), such as the monitored features, to the driver.
 
-    ``df`` has no nulls, ``rows`` is a bound of its size. A large table is narrowed down: a mergeable sketch
-    brackets every wanted rank, one pass counts the values below the brackets, and only the values inside,
-    a few per mille of the rows, are ordered.
+    All columns share one aggregation, so the rows are never copied per column. Of more than ``held`` values a mergeable
+    sketch brackets every wanted rank, one aggregation counts the values below the brackets, and only the values inside, a
+    few per mille, become rows that are ordered. Columns without values are left out.
     """
-    qs = sorted(set(quantiles))
-    found = _narrowed(df, group, value, qs, accuracy, rows_per_slice) if rows > narrow_rows else None
-    if found is None:
-        names = {f"q{i}": q for i, q in enumerate(qs)}
-        exact = grouped_quantiles(df, [group], value, names, rows_per_slice, rows)
-        found = {r[group]: [r[n] for n in names] for r in exact.collect()}
-    return found
+    qs, names = sorted(set(quantiles)), list(columns)
+    if rows * len(columns) > held:
+        found = _narrowed(df, columns, qs, accuracy, rows_per_slice)
+        if found is not None:
+            return found
+        # a bracket missed its rank, which a column of few values can cause
+        long = df.select(F.explode(_pairs(columns)).alias("_p")).select("_p.name", "_p.value").where("value IS NOT NULL")
+        marks = {f"q{i}": q for i, q in enumerate(qs)}
+        exact = grouped_quantiles(long, ["name"], "value", marks, rows_per_slice, rows * len(columns)).collect()
+        return {r["name"]: [r[m] for m in marks] for r in exact}
+    wanted = F.array(*[F.lit(q) for q in qs])
+    row = df.agg(*[F.percentile(c, wanted).alias(f"_{i}") for i, c in enumerate(columns.values())]).first()
+    return {name: list(row[i]) for i, name in enumerate(names) if row[i] is not None}
+
+
+def _pairs(columns: dict[str, Column]) -> Column:
+    return F.array(*[F.struct(F.lit(name).alias("name"), c.alias("value")) for name, c in columns.items()])
 
 
 def _narrowed(
-    df: DataFrame, group: str, value: str, qs: list[float], accuracy: int, rows_per_slice: int
+    df: DataFrame, columns: dict[str, Column], qs: list[float], accuracy: int, rows_per_slice: int
 ) -> dict[str, list[float]] | None:
-    """None if a bracket misses its rank, which a group of few rows can cause."""
+    """None if a bracket misses its rank."""
     margin = 2 / accuracy
     probes = [min(max(q + side * margin, 0.0), 1.0) for q in qs for side in (-1, 1)]
-    sketch = df.groupBy(group).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx(value, probes, accuracy).alias("p")
-    ).collect()
-    spark = df.sparkSession
-    brackets = spark.createDataFrame(
-        [(r[group], [float(v) for v in r["p"][::2]], [float(v) for v in r["p"][1::2]]) for r in sketch],
-        f"{group} string, lows array<double>, highs array<double>",
-    )
-    placed = df.join(F.broadcast(brackets), group)
-    below = placed.groupBy(group).agg(*[
-        F.count_if(F.col(value) < F.col("lows")[i]).alias(f"b{i}") for i in range(len(qs))
-    ])
-    inside = F.filter(
-        F.sequence(F.lit(0), F.lit(len(qs) - 1)),
-        lambda i: F.col(value).between(F.element_at("lows", i + 1), F.element_at("highs", i + 1)),
-    )
-    near = placed.select(group, F.col(value), F.explode(inside).alias("_i"))
-    counted = near.groupBy(group, "_i", value).agg(F.count(F.lit(1)).alias("_copies"))
-    under = {r[group]: [r[f"b{i}"] for i in range(len(qs))] for r in below.collect()}
-    sizes = {r[group]: r["n"] for r in sketch}
+    sketch = df.agg(*[
+        F.struct(F.count(c).alias("n"), F.percentile_approx(c, probes, accuracy).alias("p")) for c in columns.values()]).first()
+    known = {name: (s["n"], s["p"][::2], s["p"][1::2]) for name, s in zip(columns, sketch) if s["n"]}
+    below = df.agg(*[
+        F.count_if(columns[name] < F.lit(float(low))) for name, (_, lows, _) in known.items() for low in lows]).first() if known else []
     targets = []
-    for name, n in sizes.items():
+    for k, (name, (n, lows, highs)) in enumerate(known.items()):
         for i, q in enumerate(qs):
-            position = q * (n - 1)
+            position, under = q * (n - 1), below[k * len(qs) + i]
             low, high = math.floor(position), math.ceil(position)
-            targets.append((name, i, low - under[name][i], high - under[name][i], position - low))
-    wanted = spark.createDataFrame(targets, f"{group} string, _i int, _low long, _high long, _part double")
-    expected = int(sum(sizes.values()) * margin * 3 * len(qs)) + 1
-    sliced = count_slices(counted, [group, "_i"], value, expected, rows_per_slice)
-    hits = ranked_counts(sliced, [group, "_i"], value, "_copies").join(F.broadcast(wanted), [group, "_i"]).where(
+            targets.append((name, i, low - under, high - under, position - low))
+    if not targets:
+        return {}
+    inside = F.array_compact(F.array(*[
+        F.when(columns[name].between(F.lit(float(low)), F.lit(float(high))), F.struct(
+            F.lit(name).alias("name"), F.lit(i).alias("_i"), columns[name].alias("value")))
+        for name, (_, lows, highs) in known.items() for i, (low, high) in enumerate(zip(lows, highs))]))
+    # rows without a value in a bracket go before anything is copied
+    near = df.select(inside.alias("_near")).where(F.size("_near") > 0).select(F.explode("_near").alias("_v")).select("_v.*")
+    counted = near.groupBy("name", "_i", "value").agg(F.count(F.lit(1)).alias("_copies"))
+    wanted = df.sparkSession.createDataFrame(targets, "name string, _i int, _low long, _high long, _part double")
+    expected = int(sum(n for n, _, _ in known.values()) * margin * 3 * len(qs)) + 1
+    sliced = count_slices(counted, ["name", "_i"], "value", expected, rows_per_slice)
+    hits = ranked_counts(sliced, ["name", "_i"], "value", "_copies").join(F.broadcast(wanted), ["name", "_i"]).where(
         covers(F.col("_low")) | covers(F.col("_high"))
     )
-    ends = hits.groupBy(group, "_i").agg(
-        F.max(F.when(covers(F.col("_low")), F.col(value))).alias("low"),
-        F.max(F.when(covers(F.col("_high")), F.col(value))).alias("high"), F.first("_part").alias("part"),
-    ).select(group, "_i", between(F.col("low"), F.col("high"), F.col("part")).alias("found")).collect()
-    values = {(r[group], r["_i"]): r["found"] for r in ends}
-    out = {name: [values.get((name, i)) for i in range(len(qs))] for name in sizes}
+    ends = hits.groupBy("name", "_i").agg(
+        F.max(F.when(covers(F.col("_low")), F.col("value"))).alias("low"),
+        F.max(F.when(covers(F.col("_high")), F.col("value"))).alias("high"), F.first("_part").alias("part"),
+    ).select("name", "_i", between(F.col("low"), F.col("high"), F.col("part")).alias("found")).collect()
+    values = {(r["name"], r["_i"]): r["found"] for r in ends}
+    out = {name: [values.get((name, i)) for i in range(len(qs))] for name in known}
     return None if any(v is None for found in out.values() for v in found) else out

@@ -16,6 +16,7 @@ from ledgerlens.plans.feature_queries import MAYBE_USER, USER
 from ledgerlens.plans.registry import (
     DAY_US, EVENTS_SQL, HOUR_US, SECOND, WEEK_US, events, near, near_sql, query, table,
 )
+from ledgerlens.sources.tables import scored_log_rows
 
 # --- ranking metrics: purchases scored by a bounded function of their value ---
 
@@ -233,7 +234,7 @@ SELECT np < 500 AS skipped, CASE WHEN np >= 500 THEN total END AS total_features
        CASE WHEN np >= 500 THEN round(critical / total, 4) END AS drift_fraction, CASE WHEN np >= 500 THEN nb END AS baseline_rows,
        np AS production_rows, np >= 500 AND (critical / total >= 0.15 OR abs(p - b) > 0.05) AS should_retrain,
        CASE WHEN np < 500 THEN 'Insufficient production data (' || np || ' < 500)'
-            WHEN critical / total >= 0.15 THEN critical || '/' || total || ' features (' || round(100 * critical / total)::INT || '%) exceeded critical PSI threshold'
+            WHEN critical / total >= 0.15 THEN critical || '/' || total || ' features  (' || round(100 * critical / total)::INT || '%) exceeded critical PSI threshold'
             ELSE 'No significant drift detected' END AS reason
 FROM j, y""")
 def a24_drift_decision(spark, sf_dir):
@@ -404,21 +405,21 @@ def a25_scoring_summary(spark, sf_dir):
 
 
 @query("f12_reason_strings", f"""
-WITH e AS ({EVENTS_SQL}), s AS (SELECT event_type, count(*) FILTER (value > 80) AS k, count(*) AS n, avg(label) AS r FROM e GROUP BY 1)
-SELECT event_type, concat_ws(' AND ', CASE WHEN k * 5 >= n THEN k || '/' || n || ' values (' || round(100 * k / n)::INT || '%) are high' END,
-       CASE WHEN r > 0.05 THEN 'rate ' || printf('%.4f', r) END) AS reason FROM s""")
+WITH e AS ({EVENTS_SQL}), s AS (SELECT event_type, count(*) FILTER (value > 80) AS k, count(*) AS n, avg(label) AS r FROM e GROUP BY 1),
+t AS (SELECT event_type, concat_ws(' AND ', CASE WHEN k * 5 >= n THEN k || '/' || n || ' features  (' || round(100 * k / n)::INT || '%) exceeded critical PSI threshold' END,
+       CASE WHEN r > 0.05 THEN 'Target fraud rate shifted by ' || printf('%.4f', r) END) AS reason FROM s)
+SELECT event_type, CASE WHEN reason = '' THEN 'No significant drift detected' ELSE reason END AS reason FROM t""")
 def f12_reason_strings(spark, sf_dir):
+    """The texts of the retraining decision, for the counts and rates of every event type."""
     s = events(spark, sf_dir).groupBy("event_type").agg(
         F.count_if(F.col("value") > 80).alias("k"), F.count(F.lit(1)).alias("n"), F.avg("label").alias("r")
     )
-    share = F.round(F.col("k") / F.col("n") * 100)
-    return s.select("event_type", F.concat_ws(
-        " AND ",
-        F.when(F.col("k") * 5 >= F.col("n"), F.format_string("%d/%d values (%.0f%%) are high", "k", "n", share)),
-        F.when(F.col("r") > 0.05, F.format_string("rate %.4f", "r")),
-    ).alias("reason"))
+    k, n, r = F.col("k"), F.col("n"), F.col("r")
+    return s.select("event_type", D.decision_reason(k * 5 >= n, k, n, r > 0.05, r).alias("reason"))
 
 
-@query("f9_rounding", f"WITH e AS ({EVENTS_SQL}) SELECT event_id, {near_sql('score')} AS six, {near_sql('score', 4)} AS four FROM e")
+@query("f9_rounding", f"WITH e AS ({EVENTS_SQL}) SELECT event_id, round(score, 6) + 0.0 AS fraud_probability FROM e")
 def f9_rounding(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", near("score").alias("six"), near("score", 4).alias("four"))
+    """Probabilities as the scored log holds them."""
+    scored = events(spark, sf_dir).select("event_id", F.col("score").alias("fraud_probability"))
+    return scored_log_rows(scored).select("event_id", "fraud_probability")

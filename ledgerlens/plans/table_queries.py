@@ -12,6 +12,7 @@ from ledgerlens.operators import joins as J
 from ledgerlens.operators import quality as Q
 from ledgerlens.operators import training_set as R
 from ledgerlens.operators.drift import drift_decision, feature_drift
+from ledgerlens.plans.metric_queries import drift_frame, psi_sql
 from ledgerlens.plans.registry import (
     DAY_US, EVENTS_SQL, ORDERS_SQL, SECOND, events, near, near_sql, orders, query, table,
 )
@@ -116,26 +117,31 @@ def k4_rolling_retention(spark, sf_dir):
     return R.append_with_retention(existing, new, 20 * DAY_US, "t").select("event_id", "t")
 
 
-def _halves(df):
-    middle = 1_705_363_200 * SECOND  # 2024-01-16
-    return df.where(F.col("t") < middle), df.where(F.col("t") >= middle)
-
-
-@query("k5_drift_report_and_history", f"""
-WITH e AS ({EVENTS_SQL})
-SELECT 'summary' AS kind, 'runs' AS name, 2 AS n FROM e GROUP BY 1 UNION ALL SELECT 'feature', 'user_id', 2 UNION ALL SELECT 'feature', 'value', 2""")
+@query("k5_drift_report_and_history", psi_sql(["value", "grown", "user_id"]) + f""",
+r AS (SELECT feature AS name, round(psi, 4) AS psi, CASE WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.1 THEN 'WARNING' ELSE 'OK' END AS status FROM p),
+y AS (SELECT round(avg(label) FILTER (NOT late), 4) AS b, round(avg(label) FILTER (late), 4) AS p, count(*) FILTER (late) AS n FROM x),
+d AS (SELECT count(*) FILTER (status = 'CRITICAL') / count(*) AS share FROM r)
+SELECT 'feature' AS kind, name, psi AS value, status AS said, CAST(2 AS BIGINT) AS runs FROM r
+UNION ALL SELECT 'decision', CASE WHEN n >= 500 AND (share >= 0.2 OR abs(p - b) > 0.05) THEN 'retrain' ELSE 'keep' END,
+  CASE WHEN n >= 500 THEN round(share, 4) END,
+  CASE WHEN n < 500 THEN 'Insufficient production data (' || n || ' < 500)' WHEN share >= 0.2 THEN
+    (SELECT count(*) FILTER (status = 'CRITICAL') || '/' || count(*) || ' features  (' || round(100 * share)::INT || '%) exceeded critical PSI threshold' FROM r)
+    ELSE 'No significant drift detected' END, 2 FROM y, d""")
 def k5_drift_report_and_history(spark, sf_dir):
+    """Two runs are reported; the features of the reports and the decisions of the history are read back."""
     folder = scratch_path(spark, "drift")
-    before, after = _halves(events(spark, sf_dir))
+    before, after = drift_frame(spark, sf_dir)
     for _ in range(2):
-        drift = feature_drift(before, after, ["value", "user_id"])
+        drift = feature_drift(before, after, ["value", "grown", "user_id"])
         IO.write_drift_report(drift, drift_decision(before, after, drift=drift, label="label"), folder)
-    history = spark.read.option("header", True).csv(f"{folder}/history")
+    history = spark.read.option("header", True).option("inferSchema", True).csv(f"{folder}/history")
     reports = spark.read.json(f"{folder}/reports")
-    runs = history.agg(F.lit("summary").alias("kind"), F.lit("runs").alias("name"), F.count(F.lit(1)).cast("int").alias("n"))
-    return runs.unionByName(
-        reports.groupBy(F.lit("feature").alias("kind"), F.col("feature").alias("name")).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    )
+    runs = F.count(F.lit(1)).alias("runs")
+    decided = F.when(F.col("should_retrain"), "retrain").otherwise("keep").alias("name")
+    return reports.groupBy(F.lit("feature").alias("kind"), F.col("feature").alias("name"), F.col("psi").alias("value"), F.col("status").alias("said")).agg(
+        runs,
+    ).unionByName(history.groupBy(
+        F.lit("decision").alias("kind"), decided, F.col("drift_fraction").cast("double").alias("value"), F.col("reason").alias("said")).agg(runs))
 
 
 @query("k7_encoding_table_roundtrip", f"""
@@ -292,7 +298,7 @@ def j4_attach_labels_latest(spark, sf_dir):
     return J.attach_labels(scored, labels, "c_custkey", "o_orderstatus", dedupe_by="o_orderkey")
 
 
-@query("a5_a11_quality_checks", f"""
+CHECKS_SQL = f"""
 WITH d AS ({DOCS_SQL}), s AS (SELECT count(*) AS n, count(*) FILTER (quality IS NULL OR quality NOT IN (0, 1)) AS bad, avg(quality) AS rate,
   count(*) FILTER (n_chars < 0) AS neg, avg(CAST(n_chars IS NULL AS INT)) AS an, avg(CAST(lang IS NULL AS INT)) AS kn,
   avg(CAST(toxic IS NOT NULL AS INT)) AS cov, count(*) - count(DISTINCT doc_id) AS dup, count(DISTINCT source) AS card FROM d)
@@ -306,11 +312,28 @@ UNION ALL SELECT 'key_nulls', CASE WHEN kn > 0.05 THEN 'warning' ELSE 'ok' END,
 UNION ALL SELECT 'time_sign', CASE WHEN neg > 0 THEN 'error' ELSE 'ok' END, neg FROM s
 UNION ALL SELECT 'join_coverage', CASE WHEN cov < 0.01 THEN 'error' ELSE 'ok' END, {near_sql('cov')} FROM s
 UNION ALL SELECT 'duplicate_ids', CASE WHEN dup > 0 THEN 'error' ELSE 'ok' END, dup FROM s
-UNION ALL SELECT 'category_cardinality', CASE WHEN card < 1 OR card > 20 THEN 'warning' ELSE 'ok' END, card FROM s""")
+UNION ALL SELECT 'category_cardinality', CASE WHEN card < 1 OR card > 20 THEN 'warning' ELSE 'ok' END, card FROM s"""
+
+
+@query("a5_a11_quality_checks", CHECKS_SQL)
 def a5_a11_quality_checks(spark, sf_dir):
     return Q.quality_checks(documents(spark, sf_dir), DOC_ROLES).select("check", "level", near("value").alias("value"))
 
 
+NULL_RATES_SQL = " UNION ALL ".join(
+    f"SELECT 'null_rate {c}', 'info', {near_sql(f'avg(CAST({c} IS NULL AS INT))')} FROM d"
+    for c in ("doc_id", "lang", "source", "n_chars", "quality", "toxic"))
+
+
+@query("a12_profile_merged", f"SELECT * FROM ({CHECKS_SQL}) WHERE \"check\" <> 'duplicate_ids' UNION ALL (WITH d AS ({DOCS_SQL}) {NULL_RATES_SQL})")
+def a12_profile_merged(spark, sf_dir):
+    """Three loads are profiled one by one; the checks of all of them come from the three stored rows."""
+    docs, path = documents(spark, sf_dir), scratch_path(spark, "profiles")
+    for load in range(3):
+        Q.load_profile(docs.where(F.col("doc_id") % 3 == load), DOC_ROLES).write.mode("append").parquet(path)
+    return Q.profile_checks(spark.read.parquet(path), DOC_ROLES).select("check", "level", near("value").alias("value"))
+
+
 @query("a12_quality_suite", """
 WITH s AS (SELECT count(*) AS n, count(*) FILTER (c_acctbal < 0) AS neg, count(*) - count(DISTINCT c_nationkey) AS dup FROM customer)
 SELECT 'Missing required columns: [''c_phone'']' AS message FROM s

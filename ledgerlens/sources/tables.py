@@ -39,13 +39,15 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 
 def read_stream(
-    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_bytes: int = 1 << 30
+    spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", max_bytes: int = 1 << 30,
+    max_files: int | None = None,
 ) -> DataFrame:
     """Transactions that arrive as files; any other streaming source with the schema serves as well.
 
-    ``max_bytes`` bounds a micro-batch, and with it the rows that one entity can bring to one task.
+    ``max_bytes`` (or ``max_files``) bounds a micro-batch, and with it the rows that one entity can bring to one task.
     """
-    return spark.readStream.schema(schema).format(fmt).option("maxBytesPerTrigger", max_bytes).load(path)
+    limit = {"maxFilesPerTrigger": max_files} if max_files else {"maxBytesPerTrigger": max_bytes}
+    return spark.readStream.schema(schema).format(fmt).options(**limit).load(path)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -101,6 +101,11 @@ def write_batch(df: DataFrame, path: str, epoch: int, partition: list[str] = ())
     numbered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", *partition).parquet(path)
 
 
+def live_state(session: SparkSession, checkpoint: str, variable: str = "stats") -> DataFrame:
+    """What the state of a feature stream holds: one row per entity (``stats``), or per entity and hour (``hours``)."""
+    return session.read.format("statestore").option("stateVarName", variable).load(checkpoint)
+
+
 def start_features(
     txns: DataFrame, roles: StreamRoles, path: str, checkpoint: str, seed: DataFrame | None = None, **options
 ) -> StreamingQuery:
@@ -140,14 +145,18 @@ def start_scoring(
     model_version: str,
     monitored: list[str],
     seed: DataFrame | None = None,
+    resent: str | None = "7 days",
 ) -> StreamingQuery:
     """Validate, read features from state, add row features, score, decide, and write the logs.
 
     ``features`` adds what the row alone gives, ``score`` adds the column ``score``. Logs are
-    partitioned by micro-batch and day; the 30-day retention of the drift log is applied on reading.
+    partitioned by micro-batch and day; the 30-day retention of the drift log is applied on reading. An id that is sent
+    again within ``resent`` of its arrival is neither scored nor counted a second time; None scores every row.
     """
     columns = txns.columns
     valid, rejected = split_valid(txns, roles.row_id, roles.time, roles.amount)
+    if resent:
+        valid = distinct_rows(valid, roles, resent)
     stream = with_entity_features(valid, roles, seed).unionByName(
         rejected.withColumn("_kind", F.lit("rejected")), allowMissingColumns=True
     )

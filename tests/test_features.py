@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -218,3 +219,27 @@ def test_later_rows_never_matter(frame):
     full = by_id(velocity(expanding_history(frame, CARD, "a"), CARD), "a_mean", *velocity_columns("card1"))
     part = by_id(velocity(expanding_history(early, CARD, "a"), CARD), "a_mean", *velocity_columns("card1"))
     assert all(full[k] == v for k, v in part.items())
+
+
+def test_busy_keys_need_no_join_on_instants(skewed):
+    """Rows meet the sums of their bucket in one exchange; joins are with tables of buckets only."""
+    plan = velocity(skewed, CARD, frame_rows=30, rows_per_slice=100)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if re.search(r"\bJoin\b", line)]
+    assert not any("TransactionDT" in line for line in joins)
+    assert "RepartitionByExpression" not in plan
+
+
+@pytest.mark.parametrize("rows_per_slice", [2, 10**6])
+def test_busy_instants_and_negative_times(spark, rows_per_slice):
+    """Many rows of one instant are dealt over several tasks; times before zero and windows that share no unit."""
+    draw = random.Random(9)
+    rows = [(i, draw.choice([-7201, -3600, -1, 0, 5, 5, 5, 5, 3599, 3600, 9000, draw.randrange(-20_000, 20_000)]), float(i), draw.choice([1, 1, 2])) for i in range(400)]
+    df = spark.createDataFrame(rows, "TransactionID long, TransactionDT long, TransactionAmt double, card1 long")
+    windows = {"a": 3_600, "b": 5_000, "c": 17}
+    got = by_id(velocity(df, CARD, windows=windows, frame_rows=1, rows_per_slice=rows_per_slice), *velocity_columns("card1", windows))
+    for i, t, _, key in rows:
+        want = ()
+        for width in windows.values():
+            past = [x for _, u, x, k in rows if k == key and t - width <= u < t]
+            want += (len(past), sum(past))
+        assert got[i] == want

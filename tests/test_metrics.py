@@ -140,15 +140,31 @@ def test_psi(spark):
 
 def test_narrowed_quantiles_are_exact(spark):
     rng = np.random.default_rng(3)
-    columns = {"normal": rng.normal(0, 1, 20_000), "counts": rng.poisson(4, 20_000).astype(float), "few": np.arange(25.0)}
-    rows = [(f, float(v)) for f, vs in columns.items() for v in vs]
-    df = spark.createDataFrame(rows, "feature string, value double").repartition(4)
+    values = {"normal": rng.normal(0, 1, 20_000), "counts": rng.poisson(4, 20_000).astype(float), "few": np.arange(25.0)}
+    rows = [tuple(float(v[i]) if i < len(v) else None for v in values.values()) + (None,) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "normal double, counts double, few double, none double").repartition(4)
     qs = [i / 10 for i in range(11)]
-    large = df.where("feature <> 'few'")
-    narrowed = quantiles._narrowed(large, "feature", "value", qs, 2_000, 100)
-    assert narrowed == {f: pytest.approx(list(np.percentile(columns[f], np.arange(0, 101, 10)))) for f in ("normal", "counts")}
-    found = quantiles.few_group_quantiles(df, "feature", "value", qs, len(rows), narrow_rows=10, accuracy=2_000)
-    assert found == {f: pytest.approx(list(np.percentile(v, np.arange(0, 101, 10)))) for f, v in columns.items()}
+    columns = {c: F.col(c) for c in df.columns}
+    want = {f: pytest.approx(list(np.percentile(v, np.arange(0, 101, 10)))) for f, v in values.items()}
+    large = {c: F.col(c) for c in ("normal", "counts")}
+    assert quantiles._narrowed(df, large, qs, 2_000, 100) == {c: want[c] for c in large}
+    for held in (10, 10**9):
+        assert quantiles.column_quantiles(df, columns, qs, 20_000, held, accuracy=2_000) == want
+    assert quantiles.column_quantiles(df, {"none": F.col("none")}, qs, 20_000, 10) == {}
+
+
+def test_drift_reads_rows_without_copying_them(spark, monkeypatch):
+    """One aggregation for the edges and one of each side for the counts; no row is repeated per feature."""
+    frame = drift_frame(spark, 1, 500, (0, 1), (0, 100), 2)
+    plans, first = [], type(frame).first
+
+    def seen(self):
+        plans.append(self._jdf.queryExecution().executedPlan().toString())
+        return first(self)
+
+    monkeypatch.setattr(type(frame), "first", seen)
+    drift.psi_table(frame, frame, frame.columns)
+    assert len(plans) == 3 and not any(x in p for p in plans for x in ("Generate", "Join", "hashpartitioning"))
 
 
 def test_psi_of_values_outside_the_range(spark):

@@ -10,7 +10,7 @@ from ledgerlens.operators.keyed import Keyed
 from ledgerlens.operators.state import seed_rows
 from ledgerlens.operators.velocity import velocity
 from ledgerlens.sources.tables import read_stream
-from ledgerlens.streaming import jobs
+from ledgerlens.streaming import jobs, tables
 from ledgerlens.streaming.processor import EntityFeatures
 
 ROLES = jobs.StreamRoles({"card1": "card1", "email": "P_emaildomain"})
@@ -192,3 +192,94 @@ def test_a_repeated_micro_batch_replaces_itself(session, folder, rows):
         jobs.write_batch(df, f"{folder}/log", 4)
     jobs.write_batch(df, f"{folder}/log", 5)
     assert session.read.parquet(f"{folder}/log").count() == 20
+
+
+def table_state(session, folder, **options):
+    return tables.StateTables(f"{folder}/state", ROLES, snapshot=2, **options)
+
+
+def table_stream(session, folder, state, parts, late=None):
+    for part in parts:
+        session.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = read_stream(session, f"{folder}/in", session.createDataFrame([], SCHEMA).schema, max_files=1)
+    tables.start_table_features(source, state, f"{folder}/out", f"{folder}/ck", late).awaitTermination()
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 5, "rows_per_slice": 3}])
+def test_state_tables_equal_batch_windows(session, folder, rows, options):
+    """Five micro-batches, shuffled inside, over two snapshots; then the stream resumes."""
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    cuts = [0, 60, 100, 101, 150, 170]
+    parts = [random.Random(i).sample(ordered[a:b], b - a) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    state = table_state(session, folder, **options)
+    tables.start_state(session, state)
+    table_stream(session, folder, state, parts)
+    table_stream(session, folder, state, [ordered[170:]])
+    assert_same(session, folder, rows, "card1", "card1")
+    assert_same(session, folder, rows, "email", "P_emaildomain")
+
+
+def test_state_tables_from_history(session, folder, rows):
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    state = table_state(session, folder, hot_rows=5, rows_per_slice=3)
+    tables.start_state(session, state, session.createDataFrame(ordered[:120], SCHEMA))
+    table_stream(session, folder, state, [ordered[120:160], ordered[160:]])
+    got = {r["TransactionID"]: r for r in session.read.parquet(f"{folder}/out").collect()}
+    expected = {r["TransactionID"]: r for r in batch_features(session.createDataFrame(rows, SCHEMA), "card1", "card1").collect()}
+    assert set(got) == {r[0] for r in ordered[120:]}
+    for i, g in got.items():
+        assert g["card1_count_7day"] == expected[i]["card1_count_7day"] and g["card1_txn_count"] == (expected[i]["n"] or 0)
+        assert g["card1_amt_sum_24hr"] == pytest.approx(expected[i]["card1_amt_sum_24hr"]) and g["card1_since_last"] == expected[i]["last"]
+
+
+def test_a_batch_reads_border_hours_only(session, folder):
+    """An entity with an event every ten seconds for a week: an hour's batch reads four hours of instants, not 168."""
+    history = [(i, i * 10, 1.0, 1, None) for i in range(60_480)]
+    state = table_state(session, folder)
+    tables.start_state(session, state, session.createDataFrame(history, SCHEMA))
+    batch = session.createDataFrame([(10**6 + i, 604_800 + 600 + i, 1.0, 1, None) for i in range(60)], SCHEMA)
+    asked = jobs.entity_rows(batch, ROLES).withColumn("entity", tables.entity_name(F.col("entity_type"), F.col("entity_id")))
+    instants, hours = state.asked(session, 0, asked)
+    assert instants.count() == 3 * 360 and hours.count() == 165
+    got = {r["row_id"]: r for r in tables.batch_features(jobs.entity_rows(batch, ROLES), state, 0).collect()}
+    first = got[10**6]
+    assert (first["count_1hr"], first["count_24hr"], first["count_7day"]) == (300, 8580, 60_420)
+    assert first["txn_count"] == 60_480 and first["since_last"] == 610
+
+
+def test_huge_amounts_do_not_wipe_later_windows(session, folder):
+    rows = [(1, 90_000, 1e30, 1, None), (2, 90_001, 0.1, 1, None), (3, 94_000, 0.2, 1, None), (4, 94_100, 5.0, 1, None)]
+    state = table_state(session, folder)
+    tables.start_state(session, state)
+    table_stream(session, folder, state, [[r] for r in rows])
+    got = {r["TransactionID"]: r["card1_amt_sum_1hr"] for r in session.read.parquet(f"{folder}/out").collect()}
+    assert got == {1: 0.0, 2: 1e30, 3: 0.0, 4: 0.2}
+
+
+def test_late_rows_see_their_own_past(session, folder):
+    state = table_state(session, folder)
+    tables.start_state(session, state)
+    table_stream(session, folder, state, [[(1, 100_000, 1.0, 1, None), (2, 101_000, 2.0, 1, None)], [(3, 300_000, 4.0, 1, None)], [(4, 101_500, 8.0, 1, None)]])
+    late = next(r for r in session.read.parquet(f"{folder}/out").collect() if r["TransactionID"] == 4)
+    assert (late["card1_count_1hr"], late["card1_amt_sum_24hr"], late["card1_txn_count"], late["card1_since_last"]) == (2, 3.0, 3, 500)
+    assert late["email_txn_count"] == 0 and late["email_since_last"] == -1
+
+
+def test_idle_entities_start_anew(session, folder):
+    state = table_state(session, folder, ttl_ms=1)
+    tables.start_state(session, state)
+    table_stream(session, folder, state, [[(1, 100_000, 1.0, 1, None)], [(2, 101_000, 2.0, 1, None)]])
+    assert {r["card1_txn_count"] for r in session.read.parquet(f"{folder}/out").collect()} == {0}
+
+
+def test_late_policy_sets_rows_aside(session, folder):
+    state = table_state(session, folder)
+    tables.start_state(session, state)
+    late = tables.LatePolicy(3_600, f"{folder}/rejected", f"{folder}/counts")
+    parts = [[(1, 100_000, 1.0, 1, None), (2, 90_000, 1.0, 1, None)], [(3, 96_400, 1.0, 1, None), (4, 96_399, 1.0, 1, None), (5, None, 1.0, 1, None)], [(6, 200_000, 1.0, 1, None)]]
+    table_stream(session, folder, state, parts, late)
+    assert {r["TransactionID"] for r in session.read.parquet(f"{folder}/out").collect()} == {1, 2, 3, 5, 6}
+    rejected = session.read.parquet(f"{folder}/rejected").collect()
+    assert [(r["TransactionID"], r["reason"]) for r in rejected] == [(4, "event time 96399 is before 96400")]
+    counts = {r["batch"]: (r["newest"], r["kept"], r["late"]) for r in session.read.parquet(f"{folder}/counts").collect()}
+    assert counts == {-1: (None, 0, 0), 0: (100_000, 2, 0), 1: (100_000, 2, 1), 2: (200_000, 1, 0)}
