@@ -32,10 +32,11 @@ def bucket_windows(
     shortest = min(windows.values())
     marks = [0, *windows.values()]
     counts = rows.groupBy(*keys, _bucket(time, str(shortest)).alias("_b")).agg(F.count(F.lit(1)).alias("_rows"))
-    fine = save(counts.groupBy(*keys).agg(F.max("_rows").alias("_peak")).where(F.col("_peak") > rows_per_slice), "busy-buckets")
+    fine = counts.groupBy(*keys).agg(F.max("_rows").alias("_peak")).where(F.col("_peak") > rows_per_slice)
+    # at most all rows / rows_per_slice keys
     busy = fine.count()
     if busy:
-        # at most all rows / rows_per_slice keys
+        fine = save(fine, "busy-buckets")
         parts = F.greatest(F.lit(1).cast("long"), F.expr(f"{shortest} div ceil(_peak / {rows_per_slice})"))
         widths = broadcast_if_small(fine.select(*keys, parts.alias("_width")), busy)
         rows_, instants = rows.join(widths, keys, "left"), instants.join(widths, keys, "left")

@@ -35,15 +35,15 @@ def _per_bin(df: DataFrame, edges: dict[str, list[float]], open_ends: bool) -> d
 
     A bin holds ``edge <= value < next edge``, the last one its upper edge, too.
     """
-    values, counts = _values(list(edges)), []
-    for feature, at in edges.items():
+    values, places, counts = _values(list(edges)), [], []
+    for k, (feature, at) in enumerate(edges.items()):
         value = values[feature]
         # the value at the top is in the last bin; edges equal to the top open no other
         place = sum([F.when(value >= F.lit(e), 1).otherwise(0) for e in at[1:-1] if e < at[-1]], F.lit(0))
         inside = F.lit(True) if open_ends else value.between(F.lit(at[0]), F.lit(at[-1]))
-        placed = F.when(value.isNotNull(), F.when(inside, place).otherwise(F.lit(-1)))
-        counts += [F.count_if(placed == i) for i in range(-1, len(at) - 1)]
-    found, out, start = df.agg(*counts).first(), {}, 0
+        places.append(F.when(value.isNotNull(), F.when(inside, place).otherwise(F.lit(-1))).alias(f"_{k}"))
+        counts += [F.count_if(F.col(f"_{k}") == i) for i in range(-1, len(at) - 1)]
+    found, out, start = df.select(*places).agg(*counts).first(), {}, 0
     for feature, at in edges.items():
         out[feature] = list(found[start:start + len(at)])
         start += len(at)

@@ -118,15 +118,15 @@ def k4_rolling_retention(spark, sf_dir):
 
 
 @query("k5_drift_report_and_history", psi_sql(["value", "grown", "user_id"]) + f""",
-r AS (SELECT feature AS name, round(psi, 4) AS psi, CASE WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.1 THEN 'WARNING' ELSE 'OK' END AS status FROM p),
-y AS (SELECT round(avg(label) FILTER (NOT late), 4) AS b, round(avg(label) FILTER (late), 4) AS p, count(*) FILTER (late) AS n FROM x),
-d AS (SELECT count(*) FILTER (status = 'CRITICAL') / count(*) AS share FROM r)
-SELECT 'feature' AS kind, name, psi AS value, status AS said, CAST(2 AS BIGINT) AS runs FROM r
+feature_rows AS (SELECT feature AS name, round(psi, 4) AS psi, CASE WHEN psi >= 0.25 THEN 'CRITICAL' WHEN psi >= 0.1 THEN 'WARNING' ELSE 'OK' END AS status FROM p),
+label_rates AS (SELECT round(avg(label) FILTER (NOT late), 4) AS b, round(avg(label) FILTER (late), 4) AS p, count(*) FILTER (late) AS n FROM x),
+moved AS (SELECT count(*) FILTER (status = 'CRITICAL') / count(*) AS share FROM feature_rows)
+SELECT 'feature' AS kind, name, psi AS value, status AS said, CAST(2 AS BIGINT) AS runs FROM feature_rows
 UNION ALL SELECT 'decision', CASE WHEN n >= 500 AND (share >= 0.2 OR abs(p - b) > 0.05) THEN 'retrain' ELSE 'keep' END,
   CASE WHEN n >= 500 THEN round(share, 4) END,
   CASE WHEN n < 500 THEN 'Insufficient production data (' || n || ' < 500)' WHEN share >= 0.2 THEN
-    (SELECT count(*) FILTER (status = 'CRITICAL') || '/' || count(*) || ' features  (' || round(100 * share)::INT || '%) exceeded critical PSI threshold' FROM r)
-    ELSE 'No significant drift detected' END, 2 FROM y, d""")
+    (SELECT count(*) FILTER (status = 'CRITICAL') || '/' || count(*) || ' features  (' || round(100 * share)::INT || '%) exceeded critical PSI threshold' FROM feature_rows)
+    ELSE 'No significant drift detected' END, 2 FROM label_rates, moved""")
 def k5_drift_report_and_history(spark, sf_dir):
     """Two runs are reported; the features of the reports and the decisions of the history are read back."""
     folder = scratch_path(spark, "drift")

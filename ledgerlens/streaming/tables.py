@@ -32,9 +32,9 @@ from ledgerlens.skew import broadcast_if_small, find_hot_keys
 from ledgerlens.streaming.jobs import StreamRoles, assemble, entity_rows, write_batch
 from ledgerlens.streaming.processor import feature_schema
 
-# amounts up to 1e45 without loss down to 1e-21, whatever comes later in the stream; infinities and NaN are counted
-SUMS = ExactSum(-70, 7, odd=True)
-PARTS = [f"_p{i}" for i in range(10)]
+# amounts up to 1e40 without loss down to 1e-13, whatever comes later in the stream; infinities and NaN count as missing
+SUMS = ExactSum(-42, 5)
+PARTS = [f"_p{i}" for i in range(SUMS.size)]
 PART_COLUMNS = ", ".join(f"{p} bigint" for p in PARTS)
 SCHEMAS = {
     "stats": "entity string, n bigint, mean double, m2 double, first_seen bigint, last_seen bigint, touched timestamp, base int, batch int, day bigint",
@@ -69,12 +69,12 @@ class StateTables:
     def sums(self) -> list[str]:
         return ["_c", *PARTS]
 
-    def table(self, spark: SparkSession, name: str, epoch: int) -> DataFrame:
-        """Rows of the state before micro-batch ``epoch``: the last snapshot and the batches after it."""
+    def table(self, spark: SparkSession, name: str, epoch: int, own: bool = False) -> DataFrame:
+        """Rows of the state before micro-batch ``epoch``, or with its ``own``: the last snapshot and the batches after it."""
         base = epoch // self.snapshot * self.snapshot - 1
         rows = spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
         merged = (F.col("base") == 1) & (F.col("batch") == base)
-        return rows.where(merged | ((F.col("base") == 0) & (F.col("batch") > base) & (F.col("batch") < epoch)))
+        return rows.where(merged | ((F.col("base") == 0) & (F.col("batch") > base) & (F.col("batch") < epoch + own)))
 
     def write(self, df: DataFrame, name: str, epoch: int, base: int) -> None:
         numbered = df.withColumns({"base": F.lit(base), "batch": F.lit(epoch)})
@@ -85,7 +85,8 @@ class StateTables:
 
     def instants_of(self, rows: DataFrame) -> DataFrame:
         """Rows (entity, t, amount) combined to instants."""
-        parts = SUMS.parts(F.col("amount"))
+        finite = F.abs("amount") < F.lit(float("inf"))
+        parts = SUMS.parts(F.when(finite, F.col("amount")))
         return rows.where("t IS NOT NULL").groupBy("entity", "t").agg(
             F.count(F.lit(1)).alias("_c"), *[F.coalesce(F.sum(p), F.lit(0)).alias(n) for n, p in zip(PARTS, parts)]
         ).withColumn("hour", F.expr(f"t div {self.hour}"))
@@ -102,26 +103,23 @@ class StateTables:
 
     def merge(self, spark: SparkSession, epoch: int) -> None:
         """Write the state up to ``epoch`` as one snapshot. Older instants and hours than the retention go."""
-        stats = save(self.stats(spark, epoch + 1), "stats")
+        stats = save(self.stats(self.table(spark, "stats", epoch, own=True)), "stats")
         self.write(stats.withColumn("day", F.lit(0).cast("long")), "stats", epoch, 1)
         oldest = stats.select("entity", (F.col("last_seen") - self.retention * self.roles.ticks).alias("_oldest"))
         count = oldest.count()
         for name, key, extra in (("instants", ["hour", "t"], []), ("hours", ["hour"], [F.max("last").alias("last")])):
-            rows = self.table(spark, name, epoch + 1).join(broadcast_if_small(oldest, count), "entity")
+            rows = self.table(spark, name, epoch, own=True).join(broadcast_if_small(oldest, count), "entity")
             until = F.col("t") if name == "instants" else (F.col("hour") + 1) * self.hour
             rows = rows.where(until >= F.col("_oldest")).groupBy("entity", *key).agg(*extra, *[F.sum(c).alias(c) for c in self.sums])
             self.write(rows.withColumn("day", F.expr("hour div 24")), name, epoch, 1)
 
     # --- what is read ---
 
-    def stats(self, spark: SparkSession, epoch: int, entities: DataFrame | None = None, count: int = 0) -> DataFrame:
+    def stats(self, rows: DataFrame) -> DataFrame:
         """Merged statistics of the entities, without those that nothing touched for ``ttl_ms``.
 
         There are at most ``snapshot`` rows an entity to merge, in the order of the batches.
         """
-        rows = self.table(spark, "stats", epoch)
-        if entities is not None:
-            rows = rows.join(broadcast_if_small(entities, count), "entity", "left_semi")
         parts = rows.groupBy("entity").agg(
             F.array_sort(F.collect_list(F.struct("batch", "n", "mean", "m2", "first_seen", "last_seen", "touched"))).alias("_s"))
         kept = F.expr(f"INTERVAL {self.ttl_ms} MILLISECONDS")
@@ -142,43 +140,38 @@ class StateTables:
         merged = parts.select("entity", F.aggregate("_s", F.lit(None).cast(STATS), step).alias("_s")).select("entity", "_s.*")
         return merged.drop("batch").where(F.col("touched") >= F.current_timestamp() - kept)
 
-    def asked(self, spark: SparkSession, epoch: int, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(instants of the border hours, totals of the other hours) that the windows of ``rows`` reach into.
+    def asked(self, spark: SparkSession, epoch: int, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What the windows of ``rows`` reach into: instants of the border hours, totals of the other hours, and statistics.
 
         The borders of ``[t - w, t)`` lie in the hours of ``t`` and of ``t - w``.
         """
-        hours = save(rows.where("t IS NOT NULL").select("entity", F.expr(f"t div {self.hour}").alias("hour")).distinct(), "asked-hours")
-        first, last = hours.agg(F.min("hour"), F.max("hour")).first()
+        hours = save(rows.select("entity", F.expr(f"t div {self.hour}").alias("hour")).distinct(), "asked-hours")
+        first, last, count = hours.agg(F.min("hour"), F.max("hour"), F.count(F.lit(1))).first()
         widths = sorted({0, *(w * self.roles.ticks for w in self.windows.values())})
         # a width that is no multiple of an hour has its border in one of two hours
         steps = sorted({s for w in widths for s in (w // self.hour, math.ceil(w / self.hour))})
         shifts = F.array(*[F.lit(s).cast("long") for s in steps])
         borders = hours.select("entity", F.explode(F.transform(shifts, lambda s: F.col("hour") - s)).alias("hour")).distinct()
-        borders = save(borders, "border-hours")
-        borders_n = borders.count()
-        entities = hours.select("entity").distinct()
-        entities_n = entities.count()
-        first = (first or 0) - max(steps)
+        borders, entities = broadcast_if_small(borders, count * len(steps)), broadcast_if_small(hours.select("entity").distinct(), count)
+        first, last = (first or 0) - max(steps), last or 0
 
         def between(name: str) -> DataFrame:
-            rows_ = self.table(spark, name, epoch).where(
-                F.col("day").between(first // 24 - 1, (last or 0) // 24 + 1) & F.col("hour").between(first, last or 0))
-            return rows_.drop("base", "batch", "day")
+            days = F.col("day").between(first // 24 - 1, last // 24 + 1)
+            return self.table(spark, name, epoch).where(days & F.col("hour").between(first, last)).drop("base", "batch", "day")
 
-        at_border = broadcast_if_small(borders, borders_n)
-        instants = between("instants").join(at_border, ["entity", "hour"], "left_semi")
-        totals = between("hours").join(broadcast_if_small(entities, entities_n), "entity", "left_semi").join(
-            at_border, ["entity", "hour"], "left_anti")
-        return instants, totals
+        instants = between("instants").join(borders, ["entity", "hour"], "left_semi")
+        totals = between("hours").join(entities, "entity", "left_semi").join(borders, ["entity", "hour"], "left_anti")
+        return instants, totals, self.stats(self.table(spark, "stats", epoch).join(entities, "entity", "left_semi"))
 
 
 def batch_features(rows: DataFrame, state: StateTables, epoch: int) -> DataFrame:
-    """Features of the rows (entity_type, entity_id, row_id, t, amount) of micro-batch ``epoch``; adds them to the state."""
+    """Features of the rows (entity_type, entity_id, row_id, t, amount) of micro-batch ``epoch``; adds them to the state.
+
+    ``rows`` are read several times."""
     spark, ticks = rows.sparkSession, state.roles.ticks
-    rows = save(rows.select("*", entity_name(F.col("entity_type"), F.col("entity_id")).alias("entity")), "batch-rows")
+    rows = rows.select("*", entity_name(F.col("entity_type"), F.col("entity_id")).alias("entity"))
     own = save(state.instants_of(rows), "batch-instants")
-    near, inside = state.asked(spark, epoch, rows)
-    near, inside = save(near, "border-instants"), save(inside, "hour-totals")
+    near, inside, known = state.asked(spark, epoch, rows)
     columns = ["entity", "t", *state.sums]
     totals = inside.withColumn("t", F.col("hour") * state.hour)
     instants = own.select(columns).union(near.select(columns)).union(totals.select(columns)).groupBy("entity", "t").agg(
@@ -188,12 +181,9 @@ def batch_features(rows: DataFrame, state: StateTables, epoch: int) -> DataFrame
     untimed = rows.where("t IS NULL").select("*", *[F.lit(0).cast("long").alias(f"{c}_{n}") for n in widths for c in state.sums])
     found = timed.unionByName(untimed)
 
-    entities = rows.select("entity").distinct()
-    entity_count = entities.count()
-    stats = save(state.stats(spark, epoch, entities, entity_count), "asked-stats").select(
-        "entity", F.struct("n", "mean", "m2", "first_seen", "last_seen").alias("_stats"))
+    stats = save(known.select("entity", F.struct("n", "mean", "m2", "first_seen", "last_seen").alias("_stats")), "asked-stats")
     none = F.lit(None).cast(stats.schema["_stats"].dataType)
-    found = lookup(found, stats, "entity", "_stats", "_old", none, entity_count)
+    found = lookup(found, stats, "entity", "_stats", "_old", none, stats.count())
 
     spec = Keyed("entity", "t", "row_id", "amount", ticks)
     t, amount, old = F.col("t"), F.col("amount"), F.col("_old")
