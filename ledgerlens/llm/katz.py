@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.tokens import slices, split
+from ledgerlens.llm.tokens import pack, slices, split, unpack
 from ledgerlens.scratch import save, scratch_path
 
 # no word is empty
@@ -70,22 +70,6 @@ class Unigrams:
     unknown: float
 
 
-def _packed(columns: dict[str, pa.Array | np.ndarray]) -> bytes:
-    """One row of lists as a compressed Arrow message."""
-    arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
-    lists = [pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in arrays]
-    sink = pa.BufferOutputStream()
-    batch = pa.RecordBatch.from_arrays(lists, list(columns))
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(block: pa.Scalar) -> dict[str, pa.Array]:
-    row = pa.ipc.open_stream(block.as_buffer()).read_all()
-    return {name: row.column(name).combine_chunks().flatten() for name in row.column_names}
-
-
 def sliced(docs: DataFrame, train: Column) -> DataFrame:
     """slice, block: the documents, some megabytes of text together, as numbers into the words of the slice.
 
@@ -101,7 +85,7 @@ def sliced(docs: DataFrame, train: Column) -> DataFrame:
                 rank = np.empty(len(order), np.int32)
                 rank[order] = np.arange(1, len(order) + 1)
                 ends = np.diff(found.bounds) + 1
-                blocks.append(_packed({
+                blocks.append(pack({
                     "doc_id": part.column(0), "train": part.column(1), "tokens": ends.astype(np.int32),
                     "codes": np.insert(rank[found.codes], found.bounds[1:], 0),
                     "words": pa.concat_arrays([pa.array([BOUNDARY], found.vocabulary.type), found.vocabulary.take(pa.array(order))]),
@@ -116,7 +100,7 @@ class Slice:
     """A slice of documents, and its different pairs of words, each in the part of the tables that it belongs to."""
 
     def __init__(self, block: pa.Scalar, parts: int = 1, hot: frozenset[str] = frozenset()) -> None:
-        found = _unpacked(block)
+        found = unpack(block)
         self.doc_id, self.words, self.codes = found["doc_id"], found["words"], found["codes"].to_numpy()
         self.tokens, self.train = found["tokens"].to_numpy(), found["train"].to_numpy(zero_copy_only=False)
         self.learnt = np.repeat(self.train, self.tokens)
@@ -175,7 +159,7 @@ def _asked(blocks: DataFrame, parts: int, hot: frozenset[str]) -> DataFrame:
                 for pairs in own.of_part.values():
                     w, w_at = np.unique(own.w[pairs], return_inverse=True)
                     v, v_at = np.unique(own.v[pairs], return_inverse=True)
-                    asked.append(_packed({
+                    asked.append(pack({
                         "words": own.words.take(pa.array(w)), "w": w_at.astype(np.int32),
                         "histories": own.words.take(pa.array(v)), "v": v_at.astype(np.int32), "n": n[pairs]}))
                 yield pa.RecordBatch.from_arrays(
@@ -198,7 +182,7 @@ def _rows(kind: str, size: int, given: dict[str, pa.Array]) -> pa.Table:
 
 def _part(group: pa.Table, hot: dict[str, int]) -> pa.Table:
     """A part of the tables: a row for each of its words, and for each slice the counts that it asked for."""
-    asked = [_unpacked(b) for b in group.column("block").combine_chunks()]
+    asked = [unpack(b) for b in group.column("block").combine_chunks()]
 
     def joined(places: str, names: str) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
         """Places in the strings of all blocks together: of a block's strings, of its pairs' strings, and the strings."""
@@ -218,7 +202,7 @@ def _part(group: pa.Table, hot: dict[str, int]) -> pa.Table:
     edges = np.cumsum([0] + [len(x) for x in w])
     pairs, at = np.unique(np.concatenate(w).astype(np.int64) * len(histories) + np.concatenate(v), return_inverse=True)
     both = np.bincount(at, n, len(pairs)).astype(np.int64)
-    answers = [_packed({"words": count[x], "pairs": both[at[s:e]]}) for x, s, e in zip(asked_words, edges, edges[1:])]
+    answers = [pack({"words": count[x], "pairs": both[at[s:e]]}) for x, s, e in zip(asked_words, edges, edges[1:])]
 
     kept = np.flatnonzero(both)
     owners, first = np.unique((pairs // len(histories))[kept], return_index=True)
@@ -254,7 +238,7 @@ def _scores(own: Slice, answers: pa.Table, about: Unigrams, slope: float) -> pa.
     weight = np.ones(len(own.words))
     told = answers.filter(pc.is_valid(answers.column("part")))
     for part, block in zip(told.column("part").to_pylist(), told.column("block").combine_chunks()):
-        found, pairs = _unpacked(block), own.of_part[part]
+        found, pairs = unpack(block), own.of_part[part]
         both[pairs] = found["pairs"].to_numpy()
         count[np.unique(own.w[pairs])] = found["words"].to_numpy()
     weights = answers.filter(pc.is_valid(answers.column("word")))

@@ -15,13 +15,14 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import need
-from ledgerlens.llm.tokens import slices, split
+from ledgerlens.llm.tokens import pack, slices, split, unpack
 from ledgerlens.scratch import save
 
 MAX_WORDS = 5
@@ -95,8 +96,24 @@ def parse(docs: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
         F.count(F.lit(1)).alias("freq"))
 
 
-def count_phrases(chunks: DataFrame, words: int, shorter: np.ndarray | None) -> DataFrame:
-    """lang, phrase, f: occurrences of the phrases of ``words`` words, combined in every slice of chunks.
+def numbered(chunks: DataFrame) -> DataFrame:
+    """block: the dictionary in slices, as numbers into the words of each, so that the passes over it split no text."""
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks = []
+            for part in slices(batch, 1):
+                found, lang = split(part.column(1), b" "), part.column(0).dictionary_encode()
+                blocks.append(pack({
+                    "codes": found.codes.astype(np.int32), "sizes": np.diff(found.bounds).astype(np.int32), "words": found.vocabulary,
+                    "lang": lang.indices, "langs": lang.dictionary, "last": part.column(2), "freq": part.column(3)}))
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
+
+    return chunks.select("lang", "chunk", "last", "freq").mapInArrow(per_batch, "block binary")
+
+
+def count_phrases(blocks: DataFrame, words: int, shorter: np.ndarray | None) -> DataFrame:
+    """lang, phrase, f: occurrences of the phrases of ``words`` words, combined in every slice of the dictionary.
 
     ``shorter`` is the Bloom filter of the phrases with a word less that are frequent. Of single words, all are
     counted, and the empty phrase stands for all of them together.
@@ -104,29 +121,29 @@ def count_phrases(chunks: DataFrame, words: int, shorter: np.ndarray | None) ->
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                found = split(part.column(1), b" ")
-                codes, chunk, n, size = found.codes, found.text, len(found.codes), len(found.vocabulary)
-                spelt = found.vocabulary.to_pylist()
-                plain = np.array([w != BREAK for w in spelt])[codes]
-                stop = np.where(part.column(2).to_numpy(zero_copy_only=False), found.bounds[1:], found.bounds[1:] - OVERLAP)[chunk]
-                weight = part.column(3).to_numpy()[chunk]
-                coded = part.column(0).dictionary_encode()
-                lang = coded.indices.to_numpy()[chunk].astype(np.int64)
+            for block in batch.column(0):
+                found = unpack(block)
+                codes, sizes = found["codes"].to_numpy().astype(np.int64), found["sizes"].to_numpy()
+                n, size, vocabulary, langs = len(codes), len(found["words"]), found["words"], found["langs"]
+                chunk, ends = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes)
+                plain = (pc.not_equal(vocabulary, pa.scalar(BREAK, vocabulary.type))).to_numpy(zero_copy_only=False)[codes]
+                stop = np.where(found["last"].to_numpy(zero_copy_only=False), ends, ends - OVERLAP)[chunk]
+                weight, lang = found["freq"].to_numpy()[chunk], found["lang"].to_numpy()[chunk].astype(np.int64)
 
                 def whole(ok: np.ndarray, k: int) -> np.ndarray:
                     """Where ``k`` words stand in one piece of a chunk, given where ``k - 1`` do."""
-                    out = np.zeros(n, bool)
-                    out[:max(0, n - k + 1)] = ok[:max(0, n - k + 1)] & plain[k - 1:] & (chunk[:max(0, n - k + 1)] == chunk[k - 1:])
+                    out, m = np.zeros(n, bool), max(0, n - k + 1)
+                    out[:m] = ok[:m] & plain[k - 1:] & (chunk[:m] == chunk[k - 1:])
                     return out
 
                 ok = plain
                 if shorter is not None:
-                    prints = _print(spelt)[codes]
-                    h = _longer(_print(coded.dictionary.to_pylist())[lang], prints)
+                    prints = _print(vocabulary.to_pylist())[codes]
+                    h = _longer(_print(langs.to_pylist())[lang], prints)
                     for k in range(2, words):
                         ok = whole(ok, k)
-                        h[:n - k + 1] = _longer(h[:n - k + 1], prints[k - 1:])
+                        m = max(0, n - k + 1)
+                        h[:m] = _longer(h[:m], prints[k - 1:])
                     for probe in _probes(h, len(shorter) * 64):
                         ok = ok & (shorter[probe >> 6] >> (probe & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
                     frequent, ok = ok, whole(ok, words)
@@ -136,19 +153,20 @@ def count_phrases(chunks: DataFrame, words: int, shorter: np.ndarray | None) ->
                     continue
                 group = lang[at]
                 for k in range(words):
-                    group = np.unique(group * size + codes[at + k], return_inverse=True)[1]
-                _, first = np.unique(group, return_index=True)
+                    group, different = pd.factorize(group * size + codes[at + k])
+                first = np.empty(len(different), np.int64)
+                first[group[::-1]] = np.arange(len(at))[::-1]
                 f = np.bincount(group, weight[at]).astype(np.int64)
                 edges = np.arange(0, len(first) * words + 1, words)
                 used = codes[(at[first][:, None] + np.arange(words)).ravel()]
-                names = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found.vocabulary.take(pa.array(used)))
-                rows = [coded.dictionary.take(pa.array(lang[at[first]])), pc.binary_join(names, pa.scalar(" ", found.vocabulary.type)).cast(pa.string()), pa.array(f)]
+                names = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), vocabulary.take(pa.array(used)))
+                rows = [langs.take(pa.array(lang[at[first]])), pc.binary_join(names, pa.scalar(" ", vocabulary.type)).cast(pa.string()), pa.array(f)]
                 yield pa.RecordBatch.from_arrays(rows, ["lang", "phrase", "f"])
                 if words == 1:
-                    total = np.bincount(lang[at], weight[at], len(coded.dictionary)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array([""] * len(total)), pa.array(total)], ["lang", "phrase", "f"])
+                    total = np.bincount(lang[at], weight[at], len(langs)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([langs, pa.array([""] * len(total)), pa.array(total)], ["lang", "phrase", "f"])
 
-    return chunks.select("lang", "chunk", "last", "freq").mapInArrow(per_batch, "lang string, phrase string, f long").groupBy(
+    return blocks.select("block").mapInArrow(per_batch, "lang string, phrase string, f long").groupBy(
         "lang", "phrase").agg(F.sum("f").alias("f"))
 
 
@@ -188,15 +206,15 @@ def collocations(
     """
     if not 2 <= max_words <= MAX_WORDS:
         raise ValueError(f"phrases have 2 to {MAX_WORDS} words")
-    chunks = save(parse(docs, chunk_words), "chunks")
-    frequent = save(count_phrases(chunks, 1, None).where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
+    blocks = save(numbered(parse(docs, chunk_words)), "chunks")
+    frequent = save(count_phrases(blocks, 1, None).where((F.col("f") >= least) | (F.col("phrase") == "")), "phrases")
     totals = frequent.where("phrase = ''").select("lang", F.col("f").alias("n"))
     levels = [frequent.where(f"phrase <> '' AND f >= {int(least)}")]
     for words in range(2, max_words + 1):
         entries = levels[-1].count()
         if not entries:
             break
-        levels.append(save(count_phrases(chunks, words, bloom(levels[-1], entries)).where(F.col("f") >= least), "phrases"))
+        levels.append(save(count_phrases(blocks, words, bloom(levels[-1], entries)).where(F.col("f") >= least), "phrases"))
     counted = levels[0].withColumn("words", F.lit(1))
     for i, level in enumerate(levels[1:]):
         counted = counted.union(level.withColumn("words", F.lit(i + 2)))

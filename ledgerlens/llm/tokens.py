@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 # bytes of text that are split at a time; a longer text is a slice of its own
 SLICE_BYTES = 8 * 2**20
@@ -32,10 +33,9 @@ class Words:
 
 def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` whose texts have together at most ``SLICE_BYTES``, or that are one row."""
-    texts = batch.column(column)
-    sizes = np.array([len(t.as_buffer()) if t.is_valid else 0 for t in texts], np.int64)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     start, filled = 0, 0
-    for i, size in enumerate(sizes):
+    for i, size in enumerate(sizes.tolist()):
         if filled and filled + size > SLICE_BYTES:
             yield batch.slice(start, i - start)
             start, filled = i, 0
@@ -44,14 +44,32 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
+def pack(columns: dict[str, pa.Array | np.ndarray]) -> bytes:
+    """One row of lists as a compressed Arrow message."""
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]
+    lists = [pa.LargeListArray.from_arrays(pa.array([0, len(c)], pa.int64()), c) for c in arrays]
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays(lists, list(columns))
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(block: pa.Scalar) -> dict[str, pa.Array]:
+    row = pa.ipc.open_stream(block.as_buffer()).read_all()
+    return {name: row.column(name).combine_chunks().flatten() for name in row.column_names}
+
+
 def split(texts: pa.Array, spaces: bytes = SPACES, breaks: bytes = b"", lower: bool = False) -> Words:
     """The words of ``texts``: stretches without bytes of ``spaces`` or ``breaks``. A null text has none.
 
     With ``lower``, A-Z become a-z. All given bytes are ASCII, so no character of several bytes is cut.
     """
-    blobs = [t.as_buffer() if t.is_valid else b"" for t in texts]
-    data = np.frombuffer(b"".join(blobs), np.uint8)
-    ends = np.cumsum([0] + [len(b) for b in blobs])
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, places, blob = texts.buffers()
+    ends = np.frombuffer(places, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(blob, np.uint8)[ends[0]:ends[-1]] if blob else np.zeros(0, np.uint8)
+    ends = ends - ends[0]
     kind = np.zeros(256, np.uint8)
     kind[list(spaces)] = 1
     kind[list(breaks)] = 2

@@ -38,6 +38,8 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_manifest"
 _CHUNK = 4_096
+# an archive that has reached this size is closed, and the next one begun
+ROLL_BYTES = 256 * 2**20
 
 
 def _open(path: str):
@@ -229,12 +231,12 @@ class WarcReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    name: str
-    size: int
+    files: list[tuple[str, int]]
 
 
 class WarcWriter(DataSourceWriter):
-    """One archive per task, under a name of its own. Only the files of successful tasks come into the manifest."""
+    """Archives of at most ``ROLL_BYTES`` and one record, under names of their own; a reader's task takes one of them. Only
+    the files of successful tasks come into the manifest."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -242,18 +244,26 @@ class WarcWriter(DataSourceWriter):
     def write(self, iterator) -> WriterCommitMessage:
         system, path = _open(self.path)
         system.create_dir(path, recursive=True)
-        name, size = f"part-{uuid.uuid4().hex}.warc.gz", 0
-        with system.open_output_stream(f"{path}/{name}", compression=None) as out:
+        files, out = [], None
+        try:
             for row in iterator:
+                if out is None or files[-1][1] >= ROLL_BYTES:
+                    if out is not None:
+                        out.close()
+                    files.append((f"part-{uuid.uuid4().hex}.warc.gz", 0))
+                    out = system.open_output_stream(f"{path}/{files[-1][0]}", compression=None)
                 packed = member(record_bytes(row.asDict()))
                 out.write(packed)
-                size += len(packed)
-        return Written(name, size)
+                files[-1] = (files[-1][0], files[-1][1] + len(packed))
+        finally:
+            if out is not None:
+                out.close()
+        return Written(files)
 
     def commit(self, messages) -> None:
         system, path = _open(self.path)
         system.create_dir(path, recursive=True)
-        files = [(m.name, m.size) for m in messages if m is not None and m.size]
+        files = [f for m in messages if m is not None for f in m.files]
         with system.open_output_stream(f"{path}/{MANIFEST}", compression=None) as out:
             out.write(json.dumps(files).encode())
 
@@ -278,6 +288,12 @@ class WarcSource(DataSource):
         return WarcWriter(self.options)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme of Spark's default file system if it has none: executors must not take it for a local one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()
+
+
 def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
@@ -317,13 +333,13 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         urn("page_id").alias("record_id"), F.col("url").alias("target_uri"),
         F.when(F.col("top").isNotNull(), urn("top")).alias("refers_to"), base32_of_hex(F.col("digest")).alias("payload_digest"),
         "payload_bytes", F.when(F.col("top").isNull(), F.encode("html", "utf-8")).alias("payload"),
-    ).write.format(FORMAT).mode("append").save(path)
+    ).write.format(FORMAT).mode("append").save(qualified(pages.sparkSession, path))
 
 
 def read_archives(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Rows of SCHEMA. Filters on record_type and the header columns are pushed to the reader."""
     register(spark)
-    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(path)
+    return spark.read.format(FORMAT).option("payload", str(payload).lower()).load(qualified(spark, path))
 
 
 def page_of(urn: str) -> F.Column:

@@ -239,5 +239,5 @@ def test_every_word_of_the_parse_counts_once(spark):
     df = spark.createDataFrame([("en", text), ("en", text)], "lang string, text string")
     chunks = phrases.parse(df, 8)
     assert chunks.agg(F.max("freq")).first()[0] >= 2
-    assert {r["phrase"]: r["f"] for r in phrases.count_phrases(chunks, 1, None).collect()}[""] == 10_000
+    assert {r["phrase"]: r["f"] for r in phrases.count_phrases(phrases.numbered(chunks), 1, None).collect()}[""] == 10_000
     assert phrases.collocations(df.limit(0)).count() == 0

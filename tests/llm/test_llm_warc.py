@@ -41,6 +41,17 @@ def test_round_trip(spark, archive):
     assert sorted(((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["to"], None if r["payload"] is None else bytes(r["payload"])) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_archives_roll_over(spark, folder, monkeypatch):
+    monkeypatch.setattr(warc, "ROLL_BYTES", 600)
+    pages = spark.createDataFrame([(i, "u", f"page {i}") for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.write_pages(pages, f"{folder}/rolled")
+    files = warc.WarcReader({"path": f"{folder}/rolled"}).partitions()
+    assert len(files) > 10 and all(f.size < 600 + 400 for f in files)
+    read = warc.read_archives(spark, f"{folder}/rolled")
+    assert read.rdd.getNumPartitions() == len(files) and sorted(r["target_uri"] for r in read.collect()) == ["u"] * 40
+    assert warc.qualified(spark, f"{folder}/x") == f"file:{folder}/x"
+
+
 def test_small_payloads_stay_responses(spark, folder):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     warc.write_pages(pages, f"{folder}/a", min_bytes=3)
