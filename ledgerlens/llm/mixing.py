@@ -61,12 +61,12 @@ def position(demand: Column, start: Column, end: Column) -> Column:
 
 def mix(
     docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MAX_COPIES,
-    schedules: tuple[tuple[float, float], ...] = SCHEDULES, seed: int = SEED,
+    schedules: tuple[tuple[float, float], ...] = SCHEDULES, seed: int = SEED, keep: list[str] | None = None,
 ) -> DataFrame:
     """All rows of ``docs`` with ``mix``: a struct of size, source_size, target, copies, taken and positions.
 
-    ``docs`` needs doc_id, text and source; other columns stay, and if one of them is called ``mix`` the struct gets
-    underscores in front. A null text has size 0. A null source is a source of its own. Rows with a
+    ``docs`` needs doc_id, text and source. Its columns stay, or only those in ``keep``, which spares the shuffle the texts; if
+    one of them is called ``mix`` the struct gets underscores in front. A null text has size 0. A null source is a source of its own. Rows with a
     null or repeated doc_id are documents of their own; equal rows may change places. Documents without words are
     never taken. An empty table gives an empty one. Every source's taken words differ from its target by no more
     than half of one document.
@@ -75,7 +75,7 @@ def mix(
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")))
     # a document travels as one struct, so none of its columns can clash
     rows = docs.select(
-        F.struct(*docs.columns).alias("doc"), "doc_id", "source", word_count("text").alias("size"), key.alias("key"))
+        F.struct(*(docs.columns if keep is None else keep)).alias("doc"), "doc_id", "source", word_count("text").alias("size"), key.alias("key"))
     place = lambda c: F.conv(F.substring(c, 1, 8), 16, 10).cast("long")
     sizes = save(docs.select("source", word_count("text").alias("size"), place(key).alias("place")), "sizes")
     sources, count = targets(sizes, weights, most)

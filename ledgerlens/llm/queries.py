@@ -103,7 +103,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(own AS BIGINT) AS source_size,
   CAST(coalesce(copies, 0) * size AS BIGINT) AS taken, first_order, last_order
 FROM b LEFT JOIN taken USING (row)""")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "mix")
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), keep=["doc_id"])
     return mixing.training_order(mixed).select(
         "doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken",
         F.array_min("orders").alias("first_order"), F.array_max("orders").alias("last_order"))
