@@ -32,8 +32,8 @@ from ledgerlens.skew import broadcast_if_small, find_hot_keys
 from ledgerlens.streaming.jobs import StreamRoles, assemble, entity_rows, write_batch
 from ledgerlens.streaming.processor import feature_schema
 
-# amounts up to 1e40 without loss down to 1e-13, whatever comes later in the stream; infinities and NaN count as missing
-SUMS = ExactSum(-42, 5)
+# amounts up to 1e35 without loss down to 1e-17, whatever comes later in the stream; infinities and NaN count as missing
+SUMS = ExactSum(-56, 5)
 PARTS = [f"_p{i}" for i in range(SUMS.size)]
 PART_COLUMNS = ", ".join(f"{p} bigint" for p in PARTS)
 SCHEMAS = {
