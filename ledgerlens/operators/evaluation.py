@@ -49,6 +49,24 @@ def score_curve(
     return ScoreCurve(rows, total[0], total[1])
 
 
+def average_precisions(
+    df: DataFrame, run: str, label: str, score: str, rows_per_slice: int = ROWS_PER_SLICE
+) -> DataFrame:
+    """``(run, auc_pr)``: the exact average precision of every run, all of them in one order of (run, score)."""
+    known = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    counts = known.groupBy(run, F.col(score).cast("double").alias("threshold")).agg(
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
+    slices = slice_count(counts, rows_per_slice, rows=known.count())
+    rows = prefix_sums(counts, [run, "threshold"], {"pos_below": F.col("pos"), "neg_below": F.col("neg")}, slices, "score-curves")
+    # what lies below the first score of a run belongs to the runs before it
+    totals = rows.groupBy(run).agg(
+        F.sum("pos").alias("_p"), F.sum("neg").alias("_n"), F.min("pos_below").alias("_p0"), F.min("neg_below").alias("_n0"))
+    tp = F.col("_p") + F.col("_p0") - F.col("pos_below")
+    fp = F.col("_n") + F.col("_n0") - F.col("neg_below")
+    return rows.join(totals, run).groupBy(run).agg(
+        F.coalesce(F.sum(F.try_divide(F.col("pos"), F.col("_p")) * tp / (tp + fp)), F.lit(0.0)).alias("auc_pr"))
+
+
 def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num, den), F.lit(0.0))
 
