@@ -282,3 +282,32 @@ def test_late_policy_sets_rows_aside(session, folder):
     assert [(r["TransactionID"], r["reason"]) for r in rejected] == [(4, "event time 96399 is before 96400")]
     counts = {r["batch"]: (r["newest"], r["kept"], r["late"]) for r in session.read.parquet(f"{folder}/counts").collect()}
     assert counts == {-1: (None, 0, 0), 0: (100_000, 2, 0), 1: (100_000, 2, 1), 2: (200_000, 1, 0)}
+
+
+def test_an_ordinary_entity_is_read_and_written_once_in_a_batch():
+    """Events in forty hours: one entry of the state, not one per hour."""
+    p, calls = processor(), []
+    write, read = p.hours.updateValue, p.hours.iterator
+    p.hours.updateValue = lambda k, v: (calls.append("write"), write(k, v))
+    p.hours.iterator = lambda: (calls.append("read"), read())[1]
+    feed(p, *[(i, i * 3_600, 1.0) for i in range(40)])
+    assert calls == ["write"]
+    feed(p, *[(i, i * 3_600, 1.0) for i in range(40, 60)])
+    assert calls == ["write", "read", "write"] and list(p.hours.map) == [(0,)]
+
+
+def test_entries_of_a_busy_entity_keep_every_instant():
+    """Entries are cut between hours, late rows come before all of them, and no instant is lost or too old."""
+    draw, p, week, seen, last = random.Random(5), processor(), 7 * 86_400, {}, 0
+    for batch in range(12):
+        low = 300_000 if batch < 2 else draw.randrange(0, 1_200_000)
+        times = [draw.randrange(low, low + 120_000) for _ in range(900)]
+        feed(p, *[(i, t, 1.0) for i, t in enumerate(times)])
+        last = max(last, *times)
+        for t in times:
+            seen[t] = seen.get(t, 0) + 1
+        seen = {t: n for t, n in seen.items() if t >= last - week}
+        entries = [p.hours.map[k] for k in sorted(p.hours.map)]
+        assert [t for e in entries for t in e[0]] == sorted(seen)
+        assert [n for e in entries for n in e[1]] == [seen[t] for t in sorted(seen)]
+        assert all(len({t // 3_600 for t in e[0]}) == 1 or len(e[0]) <= 512 for e in entries)
