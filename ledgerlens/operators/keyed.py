@@ -115,18 +115,26 @@ def running_sliced(sliced: DataFrame, spec: Keyed, carry_rows: int) -> DataFrame
 
 
 def trailing(df: DataFrame, spec: Keyed, windows: dict[str, int], prefix: str, exact: ExactSum) -> DataFrame:
-    """Count and sum over ``[t - w, t)`` by range frames, within ``_slice``. No row is in the window of a null time."""
+    """Count and sum over ``[t - w, t)`` by range frames, within ``_slice``. No row is in the window of a null time.
+
+    Each is what lies before ``t`` less what lies before ``t - w``: whole numbers, so nothing is lost, and frames that
+    only grow are summed once, while a sliding frame is summed again for every row."""
     ordered = Window.partitionBy(spec.key, SLICE).orderBy(spec.time)
     keyed, timed = F.col(spec.key).isNotNull(), F.col(spec.time).isNotNull()
-    parts = exact.parts(spec.fed(F.col(spec.amount)))
+    # rows without a time come first in the order and would be in every frame
+    parts = [F.when(timed, part) for part in exact.parts(spec.fed(F.col(spec.amount)))]
+    sums = [F.count(F.when(timed, spec.fed(F.lit(1)))), *[F.sum(part) for part in parts]]
+    shifts = {"": 0} | {name: width * spec.ticks for name, width in windows.items()}
+    before = {name: [f"_before{i}_{name}" for i in range(len(sums))] for name in shifts}
+    summed = df.withColumns({
+        c: F.coalesce(s.over(ordered.rangeBetween(Window.unboundedPreceding, -shift - 1)), F.lit(0))
+        for name, shift in shifts.items() for c, s in zip(before[name], sums)})
     out = {}
-    for name, width in windows.items():
-        frame = ordered.rangeBetween(-width * spec.ticks, -1)
-        rows = F.count(spec.fed(F.lit(1))).over(frame)
-        total = exact.total([F.coalesce(F.sum(part).over(frame), F.lit(0)) for part in parts])
+    for name in windows:
+        rows, *parts = [F.col(c) - F.col(earlier) for c, earlier in zip(before[""], before[name])]
         out[f"{prefix}_count_{name}"] = F.when(keyed, F.when(timed, rows).otherwise(F.lit(0)))
-        out[f"{prefix}_amt_sum_{name}"] = F.when(keyed, F.when(timed, total).otherwise(F.lit(0.0)))
-    return df.withColumns(out)
+        out[f"{prefix}_amt_sum_{name}"] = F.when(keyed, F.when(timed, exact.total(parts)).otherwise(F.lit(0.0)))
+    return summed.withColumns(out).drop(*[c for names in before.values() for c in names])
 
 
 def trailing_buckets(

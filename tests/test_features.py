@@ -243,3 +243,13 @@ def test_busy_instants_and_negative_times(spark, rows_per_slice):
             past = [x for _, u, x, k in rows if k == key and t - width <= u < t]
             want += (len(past), sum(past))
         assert got[i] == want
+
+
+def test_range_frames_only_grow(spark):
+    """A sliding frame is summed again for every row, so its cost is rows times frame length; one that only grows is summed once."""
+    df = spark.createDataFrame([(1, 0, 5.0, 1), (2, 10, 6.0, 1)], "TransactionID long, TransactionDT long, TransactionAmt double, card1 long")
+    out = velocity(df, CARD, frame_rows=1 << 40)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,)]*)", plan)
+    assert frames and all(f .startswith("unboundedpreceding") for f in frames)
+    assert by_id(out, "card1_count_1hr", "card1_amt_sum_1hr") == {1: (0, 0.0), 2: (1, 5.0)}
