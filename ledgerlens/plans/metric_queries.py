@@ -418,8 +418,9 @@ def f12_reason_strings(spark, sf_dir):
     return s.select("event_type", D.decision_reason(k * 5 >= n, k, n, r > 0.05, r).alias("reason"))
 
 
-@query("f9_rounding", f"WITH e AS ({EVENTS_SQL}) SELECT event_id, round(score, 6) + 0.0 AS fraud_probability FROM e")
+@query("f9_rounding", f"""
+WITH e AS ({EVENTS_SQL}) SELECT event_id, round(score, 6) + 0.0 AS fraud_probability, {near_sql('score')} AS six, {near_sql('score', 4)} AS four FROM e""")
 def f9_rounding(spark, sf_dir):
-    """Probabilities as the scored log holds them."""
-    scored = events(spark, sf_dir).select("event_id", F.col("score").alias("fraud_probability"))
-    return scored_log_rows(scored).select("event_id", "fraud_probability")
+    """Probabilities as the scored log holds them, and at six and four places."""
+    scored = events(spark, sf_dir).select("event_id", F.col("score").alias("fraud_probability"), near("score").alias("six"), near("score", 4).alias("four"))
+    return scored_log_rows(scored).select("event_id", "fraud_probability", "six", "four")

@@ -285,3 +285,10 @@ def test_approximate_quantiles_per_window(spark):
     exact = monitoring.latency_quantiles(df, width="1 day").first()
     rough = monitoring.approx_window_quantiles(df, "latency", {"p50": 0.5}, width="1 day").first()
     assert exact["p50"] == 499.5 and abs(rough["p50"] - 499.5) < 2
+
+
+def test_rounding_query_shows_the_log_and_both_digits():
+    """A change of its SQL had dropped the columns of six and four places."""
+    from ledgerlens.plans.catalog import SQL
+
+    assert all(f"AS {c}" in SQL["f9_rounding"] for c in ("fraud_probability", "six", "four"))
