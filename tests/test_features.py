@@ -11,6 +11,7 @@ from ledgerlens.operators.keyed import Keyed
 from ledgerlens.operators.time_features import time_features
 from ledgerlens.operators.velocity import velocity, velocity_columns
 from ledgerlens.plans.pipeline import FeaturePlan, build_features
+from ledgerlens.skew import slice_count
 
 CARD, EMAIL = Keyed("card1"), Keyed("P_emaildomain")
 # plain windows, and every key cut into slices of a few rows
@@ -253,3 +254,12 @@ def test_range_frames_only_grow(spark):
     frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,)]*)", plan)
     assert frames and all(f .startswith("unboundedpreceding") for f in frames)
     assert by_id(out, "card1_count_1hr", "card1_amt_sum_1hr") == {1: (0, 0.0), 2: (1, 5.0)}
+
+
+def test_fine_slices_do_not_grow_with_the_rows(spark):
+    """Slices of 250 rows would be 24,000 range partitions of a micro-batch with six million rows."""
+    frame, cores = spark.range(1), spark.sparkContext.defaultParallelism
+    assert slice_count(frame, 250, rows=1_000) == 4
+    assert slice_count(frame, 250, rows=6_000_000) == max(6, 16 * cores)
+    assert slice_count(frame, 1_000_000, rows=500_000_000) == 500
+    assert slice_count(frame, 250, rows=5_000_000_000) == max(5_000, 16 * cores)
