@@ -134,13 +134,16 @@ def hot_state(spark, history=None):
 
 
 def in_batches(spark, df, number, batches, state, late=None):
-    """Stream ``df`` as one micro-batch for each value of the column ``number``, from 0."""
-    folder, path = scratch_path(spark, "stream-source"), scratch_path(spark, "features")
+    """Stream ``df`` as one micro-batch for each value of the column ``number``, from 0: each is published, by any number of
+    tasks, when the one before it is done."""
+    folder, path, checkpoint = (scratch_path(spark, n) for n in ("stream-source", "features", "checkpoint"))
     numbered = df.withColumn("_number", number)
-    for i in range(batches):
-        numbered.where(F.col("_number") == i).drop("_number").coalesce(1).write.mode("append").parquet(folder)
     session = ST.streaming_session(spark, spark.sparkContext.defaultParallelism)
-    TB.start_table_features(read_stream(session, folder, df.schema, max_files=1), state, path, scratch_path(spark, "checkpoint"), late).awaitTermination()
+    for i in range(batches):
+        numbered.where(F.col("_number") == i).drop("_number").write.mode("append").parquet(folder)
+        # all that was published is one micro-batch
+        stream = read_stream(session, folder, df.schema, max_files=(1 << 31) - 1)
+        TB.start_table_features(stream, state, path, checkpoint, late).awaitTermination()
     return spark.read.parquet(path)
 
 

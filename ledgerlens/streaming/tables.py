@@ -257,8 +257,9 @@ class LatePolicy:
     counts: str
 
     def start(self, spark: SparkSession) -> None:
-        spark.createDataFrame([(None, 0, 0, -1)], "newest long, kept long, late long, batch int").write.mode("overwrite").partitionBy(
-            "batch").parquet(self.counts)
+        # a stream that resumes keeps the counts of its earlier micro-batches
+        none = spark.createDataFrame([(None, 0, 0, -1)], "newest long, kept long, late long, batch int")
+        none.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(self.counts)
 
     def apply(self, batch: DataFrame, roles: StreamRoles, epoch: int) -> DataFrame:
         """The rows in time, written once; the same rows whenever the micro-batch is repeated."""

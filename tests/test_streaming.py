@@ -311,3 +311,12 @@ def test_entries_of_a_busy_entity_keep_every_instant():
         assert [t for e in entries for t in e[0]] == sorted(seen)
         assert [n for e in entries for n in e[1]] == [seen[t] for t in sorted(seen)]
         assert all(len({t // 3_600 for t in e[0]}) == 1 or len(e[0]) <= 512 for e in entries)
+
+
+def test_a_late_policy_that_starts_again_keeps_its_counts(session, folder):
+    policy = tables.LatePolicy(10, f"{folder}/rejected", f"{folder}/counts")
+    policy.start(session)
+    jobs.write_batch(session.createDataFrame([(5, 1, 0)], "newest long, kept long, late long"), policy.counts, 0)
+    # the setting of the streaming session is not needed
+    policy.start(session.newSession())
+    assert [r["batch"] for r in session.read.parquet(policy.counts).orderBy("batch").collect()] == [-1, 0]
