@@ -292,3 +292,33 @@ def test_rounding_query_shows_the_log_and_both_digits():
     from ledgerlens.plans.catalog import SQL
 
     assert all(f"AS {c}" in SQL["f9_rounding"] for c in ("fraud_probability", "six", "four"))
+
+
+def test_permuted_rows_are_scored_by_all_cores(spark):
+    """The pairs are small, so they came to one task, which then scored every variant of them."""
+    from ledgerlens.operators.importance import permutation_importance
+
+    df = spark.range(40_000).selectExpr(
+        "id", "id div 3 as t", "cast(id % 4 = 0 as int) as label", "cast(id % 4 = 0 as double) + id % 7 / 10D as a", "cast(id % 5 as double) as b")
+    tasks = []
+
+    def score(variants):
+        tasks.append(variants.rdd.getNumPartitions())
+        return variants.withColumn("score", F.col("a"))
+
+    rows = permutation_importance(df, ["a", "b"], score, "label", "id", "t").collect()
+    assert tasks == [8]
+    assert [(r.feature, r.rank) for r in rows] == [("a", 1), ("b", 2)]
+    own = df.orderBy("t", "id").toPandas()
+    other = df.orderBy(F.xxhash64(F.col("id"), F.lit(43)), "id").toPandas()
+    y, a, shuffled = own["label"].to_numpy(), own["a"].to_numpy(), other["a"].to_numpy()
+    assert rows[0].loss == pytest.approx(brute_precision(y, a) - brute_precision(y, shuffled)) and rows[1].loss == pytest.approx(0.0)
+
+
+def brute_precision(y, p):
+    ap, last = 0.0, 0.0
+    for t in sorted(set(p), reverse=True):
+        flagged = p >= t
+        recall = (y[flagged] == 1).sum() / (y == 1).sum()
+        ap, last = ap + (recall - last) * (y[flagged] == 1).sum() / flagged.sum(), recall
+    return ap
