@@ -24,12 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.tokens import pack, slices, split, unpack
-from ledgerlens.scratch import save, scratch_path
+from ledgerlens.scratch import save
 
 # no word is empty
 BOUNDARY = ""
+# texts of a slice, as a part of SLICE_BYTES: a worker also holds the pairs of a slice, and some ten arrays as long as they are
+SLICE_SHARE = 2
 # pairs that one part of the tables gets
 PART_PAIRS = 2_000_000
+# pairs of a part that are counted at a time
+PASS_PAIRS = 300_000
+# rows of a part that go to Spark at a time: it holds them outside its heap
+BATCH_ROWS = 2_000
 # words with more than this share of all tokens are dealt to the parts pair by pair; there are at most 1 / share of them
 HOT_SHARE = 1e-3
 # counts of counts that the line is fitted to
@@ -60,6 +66,46 @@ def counts_of_counts(table: DataFrame, count: Column) -> list[tuple[int, int]]:
     return [(r["r"], r["n"]) for r in rows.collect()]
 
 
+def release() -> None:
+    """Gives back what Arrow freed and holds: Spark keeps its workers, and an idle one would keep that memory."""
+    pa.default_memory_pool().release_unused()
+
+
+def squeeze(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from 0 on, without the head of an Arrow message: there are many short ones.
+
+    A column takes as few bytes a number as its largest one needs, first bytes before second ones.
+    """
+    columns = [c.astype(np.min_scalar_type(int(c.max(initial=0)))) for c in columns]
+    head = np.array([len(columns), *(x for c in columns for x in (len(c), c.itemsize))], np.int64)
+    raw = b"".join([head.tobytes(), *(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueeze(block: pa.Buffer) -> list[np.ndarray]:
+    size = int.from_bytes(block.slice(0, 8).to_pybytes(), "little")
+    raw = np.frombuffer(pa.decompress(block.slice(8), size, "zstd"), np.uint8)
+    at = 8 * (1 + 2 * int(raw[:8].view(np.int64)[0]))
+    columns = []
+    for length, width in raw[8:at].view(np.int64).reshape(-1, 2).tolist():
+        columns.append(raw[at:at + length * width].reshape(width, length).T.copy().view(f"u{width}").ravel())
+        at += length * width
+    return columns
+
+
+def spelt(words: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and bytes of strings."""
+    _, places, blob = words.buffers()
+    ends = np.frombuffer(places, np.int64)[words.offset:words.offset + len(words) + 1]
+    return np.diff(ends), np.frombuffer(blob, np.uint8)[ends[0]:ends[-1]] if blob else np.zeros(0, np.uint8)
+
+
+def strings(lengths: np.ndarray, blob: np.ndarray) -> pa.LargeStringArray:
+    ends = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=ends[1:])
+    return pa.LargeStringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(blob))
+
+
 @dataclass
 class Unigrams:
     """Totals of the words: tokens, distinct words, slope of the discounts, probability of the unknown word."""
@@ -76,21 +122,24 @@ def sliced(docs: DataFrame, train: Column) -> DataFrame:
     The words are in order, so the boundary is word 0. Written once: a slice's number and content are fixed from here on.
     """
 
+    def block(part: pa.RecordBatch) -> bytes:
+        found = split(part.column(2), lower=True)
+        order = pc.sort_indices(found.vocabulary).to_numpy()
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(1, len(order) + 1)
+        ends = np.diff(found.bounds) + 1
+        words = pa.concat_arrays([pa.array([BOUNDARY], found.vocabulary.type), found.vocabulary.take(pa.array(order))])
+        codes = np.insert(rank[found.codes], found.bounds[1:], 0)
+        return pack({
+            "doc_id": part.column(0), "train": part.column(1), "tokens": ends.astype(np.int32),
+            "texts": np.frombuffer(squeeze(codes, *spelt(words)), np.uint8),
+        })
+
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks = []
-            for part in slices(batch, 2):
-                found = split(part.column(2), lower=True)
-                order = pc.sort_indices(found.vocabulary).to_numpy()
-                rank = np.empty(len(order), np.int32)
-                rank[order] = np.arange(1, len(order) + 1)
-                ends = np.diff(found.bounds) + 1
-                blocks.append(pack({
-                    "doc_id": part.column(0), "train": part.column(1), "tokens": ends.astype(np.int32),
-                    "codes": np.insert(rank[found.codes], found.bounds[1:], 0),
-                    "words": pa.concat_arrays([pa.array([BOUNDARY], found.vocabulary.type), found.vocabulary.take(pa.array(order))]),
-                }))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.binary())], ["block"])
+            for part in slices(batch, 2, SLICE_SHARE):
+                yield pa.RecordBatch.from_arrays([pa.array([block(part)], pa.binary())], ["block"])
+                release()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(train, F.lit(False)).alias("train"), "text")
     return save(rows.mapInArrow(per_batch, "block binary").withColumn("slice", F.monotonically_increasing_id()), "slices")
@@ -101,7 +150,8 @@ class Slice:
 
     def __init__(self, block: pa.Scalar, parts: int = 1, hot: frozenset[str] = frozenset()) -> None:
         found = unpack(block)
-        self.doc_id, self.words, self.codes = found["doc_id"], found["words"], found["codes"].to_numpy()
+        codes, *words = unsqueeze(pa.py_buffer(found["texts"].to_numpy()))
+        self.doc_id, self.words, self.codes = found["doc_id"], strings(*words), codes.astype(np.int32)
         self.tokens, self.train = found["tokens"].to_numpy(), found["train"].to_numpy(zero_copy_only=False)
         self.learnt = np.repeat(self.train, self.tokens)
         self.parts, self.hot = parts, hot
@@ -109,12 +159,13 @@ class Slice:
     def pair_up(self) -> None:
         """The boundary before a text is that of the text before."""
         size = len(self.words)
-        self.histories = np.concatenate([[0], self.codes[:-1]]).astype(np.int64)
-        pairs, self.at = np.unique(self.codes * np.int64(size) + self.histories, return_inverse=True)
+        pairs = self.codes * np.int64(size)
+        pairs[1:] += self.codes[:-1]
+        pairs, self.at = np.unique(pairs, return_inverse=True)
         self.w, self.v = pairs // size, pairs % size
-        strings = self.words.to_pylist()
-        place = np.array([zlib.crc32(s.encode()) for s in strings], np.int64)
-        hot = np.array([s in self.hot for s in strings])
+        words = self.words.to_pylist()
+        place = np.array([zlib.crc32(s.encode()) for s in words], np.int64)
+        hot = np.array([s in self.hot for s in words])
         part = (place[self.w] + np.where(hot[self.w], place[self.v] * 31 + 7, 0)) % self.parts
         order = np.argsort(part, kind="stable")
         cuts = np.searchsorted(part[order], np.arange(self.parts + 1))
@@ -147,24 +198,28 @@ def unigrams(words: DataFrame) -> Unigrams:
 
 
 def _asked(blocks: DataFrame, parts: int, hot: frozenset[str]) -> DataFrame:
-    """part, slice, block: the different pairs of a slice that belong to a part of the tables, and their counts in training."""
+    """part, slice, block: the different pairs of a slice that belong to a part of the tables, and their counts in training.
+
+    A block has the words, how many pairs each has, the histories, and of every pair, by word, the place of its history and its count.
+    """
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, block in zip(batch.column(0), batch.column(1)):
                 own = Slice(block, parts, hot)
                 own.pair_up()
-                n = np.bincount(own.at[own.learnt], minlength=len(own.w)).astype(np.int32)
+                n = np.bincount(own.at[own.learnt], minlength=len(own.w))
                 asked = []
                 for pairs in own.of_part.values():
-                    w, w_at = np.unique(own.w[pairs], return_inverse=True)
+                    w, w_pairs = np.unique(own.w[pairs], return_counts=True)
                     v, v_at = np.unique(own.v[pairs], return_inverse=True)
-                    asked.append(pack({
-                        "words": own.words.take(pa.array(w)), "w": w_at.astype(np.int32),
-                        "histories": own.words.take(pa.array(v)), "v": v_at.astype(np.int32), "n": n[pairs]}))
+                    asked.append(squeeze(
+                        *spelt(own.words.take(pa.array(w))), w_pairs, *spelt(own.words.take(pa.array(v))), v_at, n[pairs]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(own.of_part), pa.int32()), pa.array([number.as_py()] * len(asked), pa.int64()), pa.array(asked, pa.binary())],
                     ["part", "slice", "block"])
+                del own, n, asked
+                release()
 
     return blocks.select("slice", "block").mapInArrow(per_batch, "part int, slice long, block binary")
 
@@ -182,39 +237,51 @@ def _rows(kind: str, size: int, given: dict[str, pa.Array]) -> pa.Table:
 
 def _part(group: pa.Table, hot: dict[str, int]) -> pa.Table:
     """A part of the tables: a row for each of its words, and for each slice the counts that it asked for."""
-    asked = [unpack(b) for b in group.column("block").combine_chunks()]
-
-    def joined(places: str, names: str) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
-        """Places in the strings of all blocks together: of a block's strings, of its pairs' strings, and the strings."""
-        coded = pa.concat_arrays([a[names] for a in asked]).dictionary_encode()
-        starts = np.cumsum([0] + [len(a[names]) for a in asked])
-        codes = coded.indices.to_numpy()
-        own = [codes[s:e] for s, e in zip(starts, starts[1:])]
-        return own, [c[a[places].to_numpy()] for c, a in zip(own, asked)], coded.dictionary
-
-    asked_words, w, words = joined("w", "words")
-    _, v, histories = joined("v", "histories")
-    n = np.concatenate([a["n"].to_numpy() for a in asked])
-    count = np.bincount(np.concatenate(w), n, len(words)).astype(np.int64)
-    for i, word in enumerate(words.to_pylist()):
-        if word in hot:
-            count[i] = hot[word]
-    edges = np.cumsum([0] + [len(x) for x in w])
-    pairs, at = np.unique(np.concatenate(w).astype(np.int64) * len(histories) + np.concatenate(v), return_inverse=True)
-    both = np.bincount(at, n, len(pairs)).astype(np.int64)
-    answers = [pack({"words": count[x], "pairs": both[at[s:e]]}) for x, s, e in zip(asked_words, edges, edges[1:])]
-
-    kept = np.flatnonzero(both)
-    owners, first = np.unique((pairs // len(histories))[kept], return_index=True)
-    ends = pa.array(np.append(first, len(kept)), pa.int32())
-    before = histories.take(pa.array((pairs % len(histories))[kept])).cast(pa.string())
-    return pa.concat_tables([
-        _rows("gram", len(owners), {
+    asked = [unsqueeze(b.as_buffer()) for b in group.column("block").combine_chunks()]
+    sizes, places, n = [a[2] for a in asked], [a[5] for a in asked], np.concatenate([a[6] for a in asked])
+
+    def joined(k: int) -> tuple[list[np.ndarray], pa.Array]:
+        """Of every block, the places of its strings among those of all blocks; and these."""
+        coded = pa.concat_arrays([strings(a[k], a[k + 1]) for a in asked]).dictionary_encode()
+        return np.split(coded.indices.to_numpy(), np.cumsum([len(a[k]) for a in asked])[:-1]), coded.dictionary
+
+    asked_words, words = joined(0)
+    asked_histories, histories = joined(3)
+    del asked
+    edges = np.cumsum([0] + [len(x) for x in places])
+    passes = math.ceil(edges[-1] / PASS_PAIRS)
+    keys, turn = np.empty(edges[-1], np.int64), np.empty(edges[-1], np.int32)
+    for w, size, v, place, s, e in zip(asked_words, sizes, asked_histories, places, edges, edges[1:]):
+        keys[s:e] = np.repeat(w, size)
+        turn[s:e] = keys[s:e] % passes
+        keys[s:e] *= len(histories)
+        keys[s:e] += v[place]
+    del sizes, places, asked_histories
+
+    count = np.zeros(len(words), np.int64)
+    known = pc.index_in(pa.array(list(hot), words.type), words).to_pylist()
+    total = {at: n for at, n in zip(known, hot.values()) if at is not None}
+    found, both = [], np.empty(len(keys), np.int64)
+    for k in range(passes):
+        mine = np.flatnonzero(turn == k)
+        pairs, at = np.unique(keys[mine], return_inverse=True)
+        sums = np.bincount(at, n[mine], len(pairs)).astype(np.int64)
+        both[mine] = sums[at]
+        owners, history = np.divmod(pairs, len(histories))
+        count += np.bincount(owners, sums, len(words)).astype(np.int64)
+        for at in total:
+            count[at] = total[at]
+        kept = np.flatnonzero(sums)
+        owners, first = np.unique(owners[kept], return_index=True)
+        ends = pa.array(np.append(first, len(kept)), pa.int32())
+        before = histories.take(pa.array(history[kept])).cast(pa.string())
+        found.append(_rows("gram", len(owners), {
             "word": words.take(pa.array(owners)), "count": pa.array(count[owners]),
-            "histories": pa.ListArray.from_arrays(ends, before), "counts": pa.ListArray.from_arrays(ends, pa.array(both[kept]))}),
-        _rows("answer", len(asked), {
-            "part": group.column("part").combine_chunks(), "slice": group.column("slice").combine_chunks(), "block": pa.array(answers, pa.binary())}),
-    ])
+            "histories": pa.ListArray.from_arrays(ends, before), "counts": pa.ListArray.from_arrays(ends, pa.array(sums[kept]))}))
+    answers = [squeeze(count[x], both[s:e]) for x, s, e in zip(asked_words, edges, edges[1:])]
+    found.append(_rows("answer", len(answers), {
+        "part": group.column("part").combine_chunks(), "slice": group.column("slice").combine_chunks(), "block": pa.array(answers, pa.binary())}))
+    return pa.Table.from_batches(pa.concat_tables(found).to_batches(BATCH_ROWS), TABLES)
 
 
 def _held_out(blocks: DataFrame) -> DataFrame:
@@ -238,9 +305,8 @@ def _scores(own: Slice, answers: pa.Table, about: Unigrams, slope: float) -> pa.
     weight = np.ones(len(own.words))
     told = answers.filter(pc.is_valid(answers.column("part")))
     for part, block in zip(told.column("part").to_pylist(), told.column("block").combine_chunks()):
-        found, pairs = unpack(block), own.of_part[part]
-        both[pairs] = found["pairs"].to_numpy()
-        count[np.unique(own.w[pairs])] = found["words"].to_numpy()
+        pairs = own.of_part[part]
+        count[np.unique(own.w[pairs])], both[pairs] = unsqueeze(block.as_buffer())
     weights = answers.filter(pc.is_valid(answers.column("word")))
     weight[pc.index_in(weights.column("word").combine_chunks(), own.words.cast(pa.string())).to_numpy()] = weights.column("weight").to_numpy()
 
@@ -291,16 +357,19 @@ def score_corpus(docs: DataFrame, train: Column) -> tuple[DataFrame, Model]:
     Pairs are counted, and tokens scored, in parts dealt by the word (hot words: by the pair); a pair is one entry of a
     text, however often it occurs. A token whose pair training lacks backs off through its history's row.
     """
-    spark = docs.sparkSession
     blocks = sliced(docs, train)
     words = save(vocabulary(blocks), "vocabulary")
     about = unigrams(words)
     hot = {r["word"]: r["count"] for r in words.where(F.col("count") > HOT_SHARE * about.tokens).collect()}
     parts = max(1, math.ceil(about.tokens / PART_PAIRS))
-    path = scratch_path(spark, "katz")
     asked = _asked(blocks, parts, frozenset(hot))
-    asked.groupBy("part").applyInArrow(lambda group: _part(group, hot), TABLES_DDL).write.partitionBy("kind").parquet(path)
-    tables = spark.read.schema(TABLES_DDL).parquet(path)
+
+    def per_part(group: pa.Table) -> pa.Table:
+        release()
+        return _part(group, hot)
+
+    # one folder for both kinds: folders for each would have every task sort its rows by kind
+    tables = save(asked.groupBy("part").applyInArrow(per_part, TABLES_DDL), "katz")
     grams = tables.where("kind = 'gram'").select("word", "count", "histories", "counts")
     slope = fitted_slope(counts_of_counts(grams.select(F.explode("counts").alias("count")), F.col("count")))
     model = Model(grams, save(histories(grams, about, slope), "histories"), about, slope)
@@ -309,6 +378,7 @@ def score_corpus(docs: DataFrame, train: Column) -> tuple[DataFrame, Model]:
     answers = tables.where("kind = 'answer'").select("slice", "part", "block").unionByName(weights, allowMissingColumns=True)
 
     def per_slice(own: pa.Table, answers: pa.Table) -> pa.Table:
+        release()
         block = own.column("block").combine_chunks()[0]
         return _scores(Slice(block, parts, frozenset(hot)), answers, about, slope)
 

@@ -31,12 +31,12 @@ class Words:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` whose texts have together at most ``SLICE_BYTES``, or that are one row."""
+def slices(batch: pa.RecordBatch, column: int, share: int = 1) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` whose texts have together at most ``SLICE_BYTES / share``, or that are one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()
     start, filled = 0, 0
     for i, size in enumerate(sizes.tolist()):
-        if filled and filled + size > SLICE_BYTES:
+        if filled and filled + size > SLICE_BYTES // share:
             yield batch.slice(start, i - start)
             start, filled = i, 0
         filled += size

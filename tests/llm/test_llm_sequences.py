@@ -3,9 +3,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,6 +195,59 @@ def test_katz_without_training_or_rows(spark):
     assert katz.score_corpus(df.limit(0), F.col("learn"))[0].count() == 0
 
 
+def test_katz_slices_and_parts_in_small_pieces(spark, monkeypatch):
+    for name, value in {"SLICE_SHARE": 2**15, "PART_PAIRS": 50, "PASS_PAIRS": 7, "BATCH_ROWS": 3}.items():
+        monkeypatch.setattr(katz, name, value)
+    model, _ = compare(spark, corpus(6), 2)
+    # a folder for each kind of row would be written sorted by kind
+    assert not any("kind=" in f for f in model.grams.inputFiles())
+
+
+def test_katz_memory_of_a_slice(spark):
+    random_ = np.random.default_rng(3)
+    texts = [" ".join(f"word{k}" for k in random_.integers(0, 50_000, 500)) for _ in range(1_600)]
+    size = sum(map(len, texts))
+    assert 0.9 * tokens.SLICE_BYTES < size < tokens.SLICE_BYTES
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    blocks = [pa.scalar(r["block"], pa.binary()) for r in katz.sliced(df, F.lit(True)).collect()]
+    found, most = 0, 0
+    for block in blocks:
+        tracemalloc.start()
+        own = katz.Slice(block, 7)
+        own.pair_up()
+        most = max(most, tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        found += len(own.codes)
+    assert found == 1_600 * 501
+    # five bytes for each byte of text that the other operators take at a time
+    assert most < 5 * tokens.SLICE_BYTES
+
+
+def test_katz_part_goes_out_in_batches(monkeypatch):
+    monkeypatch.setattr(katz, "BATCH_ROWS", 10)
+    monkeypatch.setattr(katz, "PASS_PAIRS", 90)
+    words = [f"é{i}" for i in range(100)]
+    block = katz.squeeze(*katz.spelt(pa.array(words, pa.large_string())), np.full(100, 2), *katz.spelt(pa.array(["", "b"], pa.large_string())),
+                         np.tile([0, 1], 100), np.tile([0, 300], 100))
+    group = pa.table({"part": pa.array([0], pa.int32()), "slice": pa.array([5], pa.int64()), "block": pa.array([block], pa.binary())})
+    out = katz._part(group, {"é3": 999})
+    assert max(b.num_rows for b in out.to_batches()) <= 10
+    grams = {r["word"]: (r["count"], r["histories"], r["counts"]) for r in out.to_pylist() if r["kind"] == "gram"}
+    assert grams == {w: (999 if w == "é3" else 300, ["b"], [300]) for w in words}
+    answer = [r for r in out.to_pylist() if r["kind"] == "answer"]
+    assert [(r["part"], r["slice"]) for r in answer] == [(0, 5)]
+    counts, pairs = katz.unsqueeze(pa.py_buffer(answer[0]["block"]))
+    assert counts.tolist() == [999 if w == "é3" else 300 for w in words] and pairs.tolist() == [0, 300] * 100
+
+
+def test_squeeze():
+    columns = [[], [0], [255], [256, 0, 3], [2**16, 1], [2**40, 2**32, 7], list(range(300))]
+    assert [c.tolist() for c in katz.unsqueeze(pa.py_buffer(katz.squeeze(*(np.array(c, np.int64) for c in columns))))] == columns
+    for words_ in (["", "a", "é\x1c", "x" * 300], [""]):
+        array = pa.array(["cut", *words_], pa.large_string()).slice(1)
+        assert katz.strings(*katz.unsqueeze(pa.py_buffer(katz.squeeze(*katz.spelt(array))))).to_pylist() == words_
+
+
 def plain_phrases(rows, least, top, most=5):
     out = []
     langs = {}
